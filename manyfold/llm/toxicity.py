@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -186,9 +187,30 @@ def score(text: str | None, lexicon: Lexicon, matcher: Matcher, known: dict, win
     return 1 - math.exp(-left), n
 
 
-def fit(rows: list[tuple[str, int]], max_terms: int = 400, min_docs: int = 3, window: int = 6, clean_weight: float = 8.0) -> Lexicon:
+def _without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """One row of each set of near copies, so that the words of an often-copied text don't look like terms."""
+    seen: dict[tuple[int, int], int] = {}
+    out = []
+    for i, (text, y) in enumerate(rows):
+        least: dict[int, int] = {}
+        for w in set(_WORD.findall(text.lower())):
+            h = zlib.crc32(w.encode()) * 0x9E3779B1 & 0xFFFFFFFF
+            k = h & 7
+            if h < least.get(k, 1 << 32):
+                least[k] = h
+        keys = list(least.items())
+        same = Counter(seen[k] for k in keys if k in seen)
+        if not keys or not same or same.most_common(1)[0][1] * 2 <= len(keys):
+            out.append((text, y))
+            for k in keys:
+                seen.setdefault(k, i)
+    return out
+
+
+def fit(rows: list[tuple[str, int]], max_terms: int = 400, min_docs: int = 4, window: int = 6, clean_weight: float = 8.0) -> Lexicon:
     """A lexicon of (text, toxic 0 or 1) rows. clean_weight: harmless documents in the corpus for each in the sample, toxic
     ones counting once."""
+    rows = _without_copies(rows)
     toxic: Counter = Counter()
     clean: Counter = Counter()
     whole: Counter = Counter()
