@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
-from .common import held_out
+from . import langid, mixing, neardup, rules, toxicity
+from .common import held_out, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,22 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "hits")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.linked(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted, _ = written(rules.with_counts(table(spark, sf_dir, "documents"), ["doc_id"]), "rules-counts")
+    out = rules.judged(counted, rules.fit(counted))
+    return out.select("doc_id", *rules.COUNTS, "base_failed", "p_good", "kept")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op6_minhash_near_dedup, op8_source_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
