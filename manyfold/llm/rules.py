@@ -83,7 +83,7 @@ def rules() -> dict[str, Column]:
         "word_length": _three(length, length.between(3, 10), (length < 2) | (length > 14)),
         "few_symbols": _three(symbols, symbols < 0.05, symbols > 0.2),
         "few_repeats": _three(repeats, repeats < 0.15, repeats > 0.35),
-        "few_copied_lines": _three(copies, copies < 0.1, copies > 0.3),
+        "few_copied_lines": _three(copies, copies < 0.1, copies > 0.5),
         "few_capitals": _three(upper, upper < 0.15, upper > 0.4),
     }
 
@@ -100,10 +100,10 @@ class Weights:
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 60) -> Weights:
     """EM for rules that err independently given the truth, each with two accuracies among its votes: right on good
-    texts (0.97 to 0.999: rules are written to spare them) and right on bad ones (0.1 to 0.95: each sees one kind of
+    texts (0.995 to 0.9995: rules are written to spare them) and right on bad ones (0.1 to 0.95: each sees one kind of
     defect only). An abstention says nothing. The share of good texts stays between 0.5 and 0.98."""
     total = sum(n for _, n in patterns)
-    on_good, on_bad, share = dict.fromkeys(names, 0.99), dict.fromkeys(names, 0.3), 0.85
+    on_good, on_bad, share = dict.fromkeys(names, 0.998), dict.fromkeys(names, 0.2), 0.85
     for _ in range(rounds if total else 0):
         good_votes, good_right, bad_votes, bad_right, good = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0), 0.0
         for votes, n in patterns:
@@ -118,7 +118,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], roun
                     bad_votes[r] += n * (1 - p)
                     good_right[r] += n * p * (v > 0)
                     bad_right[r] += n * (1 - p) * (v < 0)
-        on_good = {r: min(0.999, max(0.97, (good_right[r] + 9.9) / (good_votes[r] + 10))) for r in names}
+        on_good = {r: min(0.9995, max(0.995, (good_right[r] + 9.9) / (good_votes[r] + 10))) for r in names}
         on_bad = {r: min(0.95, max(0.1, (bad_right[r] + 3) / (bad_votes[r] + 10))) for r in names}
         share = min(0.98, max(0.5, (good + 8.5) / (total + 10)))
     return Weights(
