@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, neardup, rules, toxicity
-from .common import held_out, written
+from . import fingerprint, langid, mixing, neardup, rules, tokens, toxicity
+from .common import fresh_path, held_out, track, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "hits")
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = fresh_path(spark, "tokens")
+    track(spark, folder)
+    manifest, _ = written(tokens.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=2), "tokens-manifest")
+    return tokens.read(spark, manifest, folder)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.linked(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -46,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op6_minhash_near_dedup, op7_fingerprints, op8_source_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_token_ids, op6_minhash_near_dedup, op7_fingerprints, op8_source_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
