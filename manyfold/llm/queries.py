@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, neardup, rules, tokens, toxicity
+from . import chat, fingerprint, langid, mixing, neardup, rules, tokens, toxicity
 from .common import fresh_path, held_out, track, written
 
 
@@ -36,6 +36,14 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(spark, manifest, folder)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.sql("select * from values (-7L, 0L, 'user', :said), (-7L, 1L, 'assistant', :said) as t(conv_id, turn, role, text)", {"said": said})
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    parts, _ = written(chat.formatted(rows), "chat-parts")
+    return chat.read_back(parts)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.linked(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -55,7 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_token_ids, op6_minhash_near_dedup, op7_fingerprints, op8_source_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_token_ids, op5_chat_format, op6_minhash_near_dedup, op7_fingerprints, op8_source_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
