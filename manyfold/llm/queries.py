@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, langid, mixing, neardup, rules, tokens, toxicity
+from . import chat, fingerprint, langid, mixing, neardup, packing, rules, tokens, toxicity
 from .common import fresh_path, held_out, track, written
 
 
@@ -56,6 +56,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted, _ = written(rules.with_counts(table(spark, sf_dir, "documents"), ["doc_id"]), "rules-counts")
     out = rules.judged(counted, rules.fit(counted))
@@ -63,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_token_ids, op5_chat_format, op6_minhash_near_dedup, op7_fingerprints, op8_source_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_token_ids, op5_chat_format, op6_minhash_near_dedup, op7_fingerprints, op8_source_mixing, op9_best_fit_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
