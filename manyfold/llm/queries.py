@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, langid, mixing, neardup, packing, rules, tokens, toxicity
+from . import chat, fingerprint, langid, mixing, neardup, packing, quality_lm, rules, tokens, toxicity
 from .common import fresh_path, held_out, track, written
 
 
@@ -27,6 +27,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "hits")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_lm.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", "lm_symbols", "perplexity", "threshold", "kept")
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,7 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_token_ids, op5_chat_format, op6_minhash_near_dedup, op7_fingerprints, op8_source_mixing, op9_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality_classifier, op4_token_ids, op5_chat_format, op6_minhash_near_dedup, op7_fingerprints, op8_source_mixing, op9_best_fit_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
