@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,8 +63,6 @@ def maxsim(query: str, document: str | None) -> float:
 
 def rescored(hits: DataFrame, df: DataFrame, key: str, column: str, query: str) -> DataFrame:
     """The k hits of a search in order of maxsim, ties by key: a join of k rows, scored by an Arrow UDF."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: maxsim(query, t))
