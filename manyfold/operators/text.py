@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K1, B = 1.2, 0.75
 
@@ -180,7 +181,7 @@ def porter_stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def porter(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Porter's stem of a column of words; a word is stemmed once a batch."""
     for s in words:
