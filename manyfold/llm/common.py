@@ -37,21 +37,16 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-#: Shuffle files of a write go when it ends, not when the driver happens to collect its garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, with its path: lineage ends there and lost executors cost nothing."""
+def written(df: DataFrame, name: str, release: bool = True) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, with its path: lineage ends there and lost executors cost nothing.
+    release: have the driver collect its garbage, so that the shuffle files of what was written go now, not at some
+    later collection."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    df.write.parquet(path)
     track(spark, path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 

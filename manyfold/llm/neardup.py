@@ -28,6 +28,8 @@ from . import textkit as tk
 from .common import remove, written
 
 BLOCK = 512
+#: Ids (three longs each) that may be sent to all tasks; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def shingles(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -76,7 +78,7 @@ def sketched(docs: DataFrame, width: int, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, width: int, repeats: bool) -> DataFrame:
     """cid and the whole set (int64s on end) of the classes in ids (cid, s1, s2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,8 +90,10 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                     raw.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(raw, pa.binary())], names=["cid", "items"])
 
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("cid"))
-    return rows.select("cid", "text", "s1", "s2").mapInArrow(run, "cid long, items binary").dropDuplicates(["cid"])
+    few = ids.count() <= MOST_BROADCAST
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("cid"))
+    out = rows.select("cid", "text", "s1", "s2").mapInArrow(run, "cid long, items binary")
+    return out.dropDuplicates(["cid"]) if repeats else out
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -116,7 +120,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """node, comp (the smallest node reachable) of every node with an edge (a, b), by alternating stars. Edges are
     written at each turn; nothing of them reaches the driver but a count and a checksum."""
     e = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct()
-    e, path = written(e, name)
+    e, path = written(e, name, release=False)
     sign = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first()
     for _ in range(100):
         if not sign[0]:
@@ -127,7 +131,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
         both = large.join(small, "hi").select("hi", "lo", "m")
         out = both.select("hi", F.col("m").alias("lo")).union(both.where("lo > m").select(F.col("lo"), F.col("m"))).distinct()
-        new, new_path = written(out, name)
+        new, new_path = written(out, name, release=False)
         new_sign = new.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         remove(e.sparkSession, path)
         e, path = new, new_path
@@ -137,10 +141,57 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(e.select("lo", "lo")).distinct()
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(first column, the other columns' rows) of rows in order of the first column."""
+    now, held = None, []
+    for batch in batches:
+        for group, *row in zip(*[c.to_pylist() for c in batch.columns]):
+            if group != now:
+                if held:
+                    yield now, held
+                now, held = group, []
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def _meetings(comps: np.ndarray, n: np.ndarray, sketches: list[np.ndarray], k: int, percent: int, least_shared: int, least_estimate: float) -> Iterator[tuple[int, int]]:
+    """Members of a block pair, of two components, that sizes, shared sketch values and the estimate let meet."""
+    _, where, often = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    column = np.cumsum(often > 1) - 1
+    owner = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
+    shared = often[where] > 1
+    at = np.zeros((len(sketches), int((often > 1).sum())), np.float32)
+    at[owner[shared], column[where[shared]]] = 1
+    for i in range(len(sketches) - 1):
+        rest = slice(i + 1, None)
+        big, little = np.maximum(n[rest], n[i]), np.minimum(n[rest], n[i])
+        ok = (100 * little >= percent * big) & (comps[rest] != comps[i])
+        if ok.any():
+            ok &= at[rest] @ at[i] >= np.minimum(least_shared, np.ceil(little * percent / 100))
+            for j in (np.flatnonzero(ok) + i + 1).tolist():
+                if estimate(sketches[i], sketches[j], k) >= least_estimate:
+                    yield i, j
+
+
+def _hopeful(pairs: DataFrame, *limits) -> DataFrame:
+    """Rows (pair, cid, comp) of block pairs (pair, cid, comp, n, sketch) whose member may meet another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair, rows in _grouped(batches):
+            comps, n = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            found = sorted({x for ij in _meetings(comps, n, [np.array(r[3], np.int64) for r in rows], *limits) for x in ij})
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([pair] * len(found), pa.int64()), pa.array([rows[i][0] for i in found], pa.int64()), pa.array([rows[i][1] for i in found], pa.int64())], names=["pair", "cid", "comp"])
+
+    return pairs.mapInArrow(run, "pair long, cid long, comp long")
+
+
 def _resolve(pairs: DataFrame, k: int, percent: int, least_shared: int, least_estimate: float) -> DataFrame:
     """Links (a, b) that join components inside block pairs: rows (pair, cid, comp, items) in order of pair."""
 
-    def group(cids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        comps, sets = np.array([r[1] for r in rows]), [np.frombuffer(r[2], np.int64) for r in rows]
         parent = {int(c): int(c) for c in comps}
 
         def root(x: int) -> int:
@@ -149,51 +200,43 @@ def _resolve(pairs: DataFrame, k: int, percent: int, least_shared: int, least_es
                 x = parent[x]
             return x
 
-        n = np.array([len(s) for s in sets])
-        sketches = [s[:k] for s in sets]
-        values, where, often = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(often > 1)
-        column = np.full(len(values), -1)
-        column[shared] = np.arange(len(shared))
-        at = np.zeros((len(sets), len(shared) + 1), np.float32)
-        at[np.repeat(np.arange(len(sets)), [len(s) for s in sketches]), column[where]] = 1
-        at = at[:, :-1]
-        for i in range(len(sets)):
-            rest = slice(i + 1, None)
-            big, little = np.maximum(n[rest], n[i]), np.minimum(n[rest], n[i])
-            ok = (100 * little >= percent * big) & (comps[rest] != comps[i]) & (at[rest] @ at[i] >= np.minimum(least_shared, np.ceil(little * percent / 100)))
-            for j in (np.flatnonzero(ok) + i + 1).tolist():
-                x, y = root(int(comps[i])), root(int(comps[j]))
-                if x != y and estimate(sketches[i], sketches[j], k) >= least_estimate and alike(sets[i], sets[j], percent):
-                    parent[max(x, y)] = min(x, y)
-                    yield int(cids[i]), int(cids[j])
+        for i, j in _meetings(comps, np.array([len(s) for s in sets]), [s[:k] for s in sets], k, percent, least_shared, least_estimate):
+            x, y = root(int(comps[i])), root(int(comps[j]))
+            if x != y and alike(sets[i], sets[j], percent):
+                parent[max(x, y)] = min(x, y)
+                yield rows[i][0], rows[j][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            links = list(group(np.array([c for c, _, _ in held]), np.array([c for _, c, _ in held]), [s for _, _, s in held])) if len(held) > 1 else []
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            for pair, cid, comp, items in zip(*[c.to_pylist() for c in batch.columns]):
-                if pair != now:
-                    yield from finish()
-                    now, held = pair, []
-                held.append((cid, comp, np.frombuffer(items, np.int64)))
-        yield from finish()
+        for _, rows in _grouped(batches):
+            found = list(links(rows))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that full sets confirm. Each set travels to where its first member's is read, once a pair; the
+    members of a large group are spread over tasks."""
+    many = candidates.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).alias("parts"))
+    placed = candidates.join(many, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "parts")).alias("g"))
+    rows = placed.select("g", F.lit(0).alias("role"), F.col("a").alias("cid")).distinct().union(placed.select("g", F.lit(1), "b"))
+    rows = rows.join(sets, "cid").select("g", "role", "cid", "items").repartition("g").sortWithinPartitions("g", "role")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first, a = None, None, None
         for batch in batches:
-            ok = [alike(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            out = []
+            for g, role, cid, items in zip(*[c.to_pylist() for c in batch.columns]):
+                own = np.frombuffer(items, np.int64)
+                if not role:
+                    now, first, a = g, own, cid
+                elif g == now and alike(first, own, percent):
+                    out.append((a, cid))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def linked(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
@@ -213,7 +256,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64) -> D
     entries, _ = written(held.where(F.size("vs") >= must).select("cid", F.explode(prefix).alias("x")).select("cid", F.col("x.v").alias("v")), "neardup-lists")
 
     first = entries.groupBy("v").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    in_lists = entries.join(first, "v").select("v", "a", "cid")
+    in_lists = entries.join(first, "v").select("v", "a", "cid", "size")
     meetings = in_lists.where("cid > a").select("a", F.col("cid").alias("b")).distinct()
     small = classes.select("cid", "n", "sketch")
     side = lambda x: small.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -223,18 +266,20 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64) -> D
     met = met.where(F.size(F.array_intersect("u", "both")) >= least_estimate * F.size("u"))
     candidates, _ = written(met.select("a", "b"), "neardup-candidates")
 
-    ids = in_lists.select("cid").union(in_lists.select("a")).distinct()
-    sets, _ = written(_sets(docs, ids.join(classes.select("cid", "s1", "s2"), "cid"), width), "neardup-sets")
-    full = lambda x: sets.select(F.col("cid").alias(x), F.col("items").alias(f"i{x}"))
-    pairs = candidates.join(full("b"), "b").join(full("a"), "a").select("a", "b", "ia", "ib")
-    links, _ = written(_verified(pairs, percent), "neardup-links")
+    repeats = not usable.groupBy("doc_id").count().where("count > 1").isEmpty()
+    hashes = classes.select("cid", "s1", "s2")
+    ids, _ = written(candidates.select(F.col("a").alias("cid")).union(candidates.select("b")).distinct().join(hashes, "cid"), "neardup-ids")
+    sets, sets_path = written(_sets(docs, ids, width, repeats), "neardup-sets")
+    links, _ = written(_verified(candidates, sets, percent), "neardup-links")
+    remove(docs.sparkSession, sets_path)
     comp, _ = written(components(links, "neardup-stars"), "neardup-comp")
 
-    labelled = in_lists.join(comp, F.col("cid") == F.col("node"), "left").select("v", "cid", F.coalesce("comp", "cid").alias("comp"))
-    open_ = labelled.groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("cid").alias("a")).where("c0 < c1").select("v", "a")
-    loose, _ = written(labelled.join(open_, "v").select("cid", "comp", "a").distinct(), "neardup-loose")
-    family = components(loose.select("a", F.col("cid").alias("b")), "neardup-families").withColumnRenamed("comp", "family")
-    member = loose.select("cid", "comp").distinct().join(family, F.col("cid") == F.col("node")).select("family", "cid", "comp")
+    # a list's first member has met all others: only lists of three or more may hold pairs that haven't met. Lists with
+    # one first member among the rest are one family
+    others = in_lists.where("cid > a and size > 2").select("v", "cid")
+    labelled, _ = written(others.join(comp, F.col("cid") == F.col("node"), "left").select("v", "cid", F.coalesce("comp", "cid").alias("comp")), "neardup-others")
+    open_ = labelled.groupBy("v").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("cid").alias("family")).where("c0 < c1").select("v", "family")
+    member, _ = written(labelled.join(open_, "v").select("family", "cid", "comp").distinct(), "neardup-loose")
     # blocks of about BLOCK members: a large component has its own, small ones of a family share
     per = member.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("size")).withColumn("own", F.col("size") >= BLOCK // 2)
     pool = per.where("not own").groupBy("family").agg(F.sum("size").alias("pool"))
@@ -250,8 +295,13 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64) -> D
     meet = meet.where(F.col("l.pure").isNull() | F.col("r.pure").isNull() | (F.col("l.pure") != F.col("r.pure")))
     meet = meet.select(F.xxhash64("l.block", "r.block").alias("pair"), F.explode(F.array_distinct(F.array(F.col("l.block"), F.col("r.block")))).alias("block"))
     placed = member.join(blocks, (member.family == blocks.family) & member.pure.eqNullSafe(blocks.pure) & (member.blk == blocks.blk)).select(member.cid, member.comp, "block")
-    work = placed.join(meet, "block").join(sets, "cid").select("pair", "cid", "comp", "items")
-    late = _resolve(work.repartition("pair").sortWithinPartitions("pair", "cid"), k, percent, least_shared, least_estimate)
+    limits = (k, percent, least_shared, least_estimate)
+    work = placed.join(meet, "block").join(small, "cid").select("pair", "cid", "comp", "n", "sketch")
+    hopeful, _ = written(_hopeful(work.repartition("pair").sortWithinPartitions("pair", "cid"), *limits), "neardup-hopeful")
+    ids, _ = written(hopeful.select("cid").distinct().join(hashes, "cid"), "neardup-ids")
+    late_sets, _ = written(_sets(docs, ids, width, repeats), "neardup-sets")
+    work = hopeful.join(late_sets, "cid").select("pair", "cid", "comp", "items")
+    late = _resolve(work.repartition("pair").sortWithinPartitions("pair", "cid"), *limits)
     all_links = late.union(comp.select("node", "comp"))
     final, _ = written(components(all_links, "neardup-stars"), "neardup-final")
 
