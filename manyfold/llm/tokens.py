@@ -154,9 +154,9 @@ class Encoder:
     pieces looked up; pieces not met yet go to the library. All other texts, and all texts of tokenizers of another
     make, go to the library whole. The memory of pieces is emptied when it has MEMORY of them."""
 
-    MEMORY = 400_000
+    MEMORY = 1_200_000
     PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-    _piece = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+    _piece = re.compile(r"[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|'(?:[stmd]|re|ve|ll)|(?:[^\s\w]|_)+")
     _plain = re.compile(r"[\t\n\r\x20-\x7e\xa0-\xff]*\Z")
 
     def __init__(self, path: str) -> None:
@@ -184,32 +184,33 @@ class Encoder:
             ids = self.whole([" ".join(part)])[0]
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(part) and cut[-1] == len(ids):
-                yield from (x.tobytes() for x in np.split(ids, cut[:-1]))
+                raw, ends = ids.tobytes(), (4 * cut).tolist()
+                yield from (raw[x:y] for x, y in zip([0, *ends], ends))
             else:
                 yield from (x.tobytes() for x in self.whole(part))
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.MEMORY:
             self.known.clear()
         out: list = [None] * len(texts)
         pieces: dict[int, list[str]] = {}
-        new: dict[str, None] = {}
+        new: set[str] = set()
         for i, t in enumerate(texts):
             if self.by_piece and self._plain.match(t) and not any(s in t for s in self.special):
                 found = pieces[i] = self._piece.findall(t.lower())
-                new.update(dict.fromkeys(w for w in found if w not in self.known))
+                new.update(set(found).difference(self.known))
         if new:
-            words = list(new)
+            words = sorted(new)
             self.known.update(zip(words, self.pieces(words)))
         rest = [i for i in range(len(texts)) if i not in pieces]
         for i, ids in zip(rest, self.whole([texts[i] for i in rest]) if rest else []):
             out[i] = ids
         known = self.known
         for i, found in pieces.items():
-            out[i] = np.frombuffer(b"".join([known[w] for w in found]), "<u4")
+            out[i] = np.frombuffer(b"".join(map(known.__getitem__, found)), "<u4")
         return out
 
 
