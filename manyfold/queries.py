@@ -144,7 +144,7 @@ said("win_ntile", "orders", f"SELECT o_orderkey, ntile(3) OVER {_W.format('')} A
 said("win_sum_full", "orders", f"SELECT o_orderkey, sum(o_custkey) OVER {_W.format('')} AS w FROM orders", f"SELECT o_orderkey, CAST(sum(o_custkey) OVER {_W.format(_FULL)} AS BIGINT) AS w FROM orders")
 said("win_rows_frame", "orders", f"SELECT o_orderkey, sum(o_orderkey) OVER {_W.format(' ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING')} AS w FROM orders", f"SELECT o_orderkey, CAST(sum(o_orderkey) OVER {_W.format(' ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING')} AS BIGINT) AS w FROM orders")
 said("win_rows_clamped", "orders", f"SELECT o_orderkey, sum(o_orderkey) OVER {_W.format(' ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING')} AS w FROM orders", "WITH n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) SELECT a.o_orderkey, CAST(sum(b.o_orderkey) AS BIGINT) AS w FROM n a JOIN n b ON a.o_custkey = b.o_custkey AND b.i BETWEEN greatest(1, a.i - 3) AND greatest(1, a.i - 1) GROUP BY a.o_orderkey")
-said("win_avg", "orders", "SELECT o_orderkey, avg(o_totalprice) OVER (PARTITION BY o_custkey) AS w FROM orders", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS w FROM orders", w=2)
+said("win_avg", "orders", "SELECT o_orderkey, avg(o_totalprice) OVER (PARTITION BY o_custkey) AS w FROM orders", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS w FROM orders", w=6)
 
 # -- time series
 
