@@ -251,7 +251,9 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, k: int = 64) -> D
     values = classes.select("cid", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     must = F.when(F.col("n") >= k, least_shared).otherwise(F.least(F.lit(least_shared), F.ceil(F.col("n") * percent / 100)))
-    held = values.join(often, "v").groupBy("cid", "n").agg(F.collect_list(F.struct("df", "v")).alias("vs"))  # at most k values
+    # moved as plain rows: partial lists of a value or two would take more room
+    shared = values.join(often, "v").select("cid", "n", "df", "v").repartition("cid")
+    held = shared.groupBy("cid", "n").agg(F.collect_list(F.struct("df", "v")).alias("vs"))  # at most k values
     prefix = F.slice(F.sort_array("vs"), F.lit(1), (F.size("vs") - must + 1).cast("int"))
     entries, _ = written(held.where(F.size("vs") >= must).select("cid", F.explode(prefix).alias("x")).select("cid", F.col("x.v").alias("v")), "neardup-lists")
 
