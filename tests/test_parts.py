@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from manyfold import queries
 from manyfold.functions import codecs
 from manyfold.operators import geo, graph, hybrid, relational, stats, text, timeseries, vector
 from manyfold.sources.blobs import BlobStore, media_type
@@ -90,6 +91,40 @@ def test_graph(spark):
     assert {r["component"] for r in graph.connected_components(chain).collect()} == {1}
 
 
+def test_graph_queries_over_whole_tables(spark):
+    d, run = "/root/testdata/sf0.001", queries.queries()
+    rows = {(r[0], -1 - r[1]) for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    both = rows | {(b, a) for a, b in rows}
+    assert {tuple(r) for r in run["neighbors_all"](spark, d).collect()} == both
+    out = {}
+    for a, b in both:
+        out.setdefault(a, []).append(b)
+    depth, now = {1: 0}, [1]
+    for k in (1, 2, 3):
+        now = [b for b in dict.fromkeys(b for a in now for b in out.get(a, [])) if b not in depth]
+        depth.update(dict.fromkeys(now, k))
+    assert {r["node"]: r["depth"] for r in run["bfs_depth_all"](spark, d).collect()} == depth and len(depth) > 1
+    rank = dict.fromkeys(out, 1 / len(out))
+    for _ in range(10):
+        new = dict.fromkeys(out, 0.15 / len(out))
+        for a, b in both:
+            new[b] += 0.85 * rank[a] / len(out[a])
+        rank = new
+    got = {r["node"]: r["rank"] for r in run["pagerank_all"](spark, d).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[n] - rank[n]) < 2e-8 for n in rank)
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for c, o in spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey").collect():
+        a, b = sorted((top(c), top(-1 - o % 500)))
+        root[b] = a
+    assert {r["node"]: r["component"] for r in run["connected_components_all"](spark, d).collect()} == {n: top(n) for n in list(root)}
+
+
 def test_text(spark):
     assert [text.porter_stem(w) for w in ("caresses", "ponies", "relational", "hopping", "running", "sky", "agreed", "conflated", "generalization", "été", "at")] == ["caress", "poni", "relat", "hop", "run", "sky", "agre", "conflat", "gener", "été", "at"]
     df = spark.createDataFrame([("the quick brown fox",), ("fox the",), (None,)], "t string")
