@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 METRICS = ("l2", "cosine", "ip")
 
@@ -53,19 +54,60 @@ def knn(df: DataFrame, vector: str, query: Sequence[float], k: int, metric: str
     return df.where(F.size(vector) == len(query)).withColumn("distance", distance(F.col(vector), query, metric)).orderBy(*order).limit(k)
 
 
+def one_query(df: DataFrame, query: Sequence[float]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, query array<double>")
+
+
+def _pairs(df: DataFrame, vector: str, queries: DataFrame) -> DataFrame:
+    """Every row with every query of its size. Not an equality of sizes: that would send all pairs to one task."""
+    return df.crossJoin(queries).where(F.size(vector) - F.size("query") == 0)
+
+
+def _first(pairs: DataFrame, n: int, *order: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    return pairs.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
+def _nearest(pairs: DataFrame, vector: str, k: int, key: str) -> DataFrame:
+    return _first(pairs.withColumn("distance", distance(F.col(vector), F.col("query"))), k, "distance", key)
+
+
+def _with_reach(queries: DataFrame, few: DataFrame, vector: str, k: int, key: str) -> DataFrame:
+    """queries with _reach, how far the k-th of a query's candidates lies; null if it has fewer."""
+    reach = _nearest(few, vector, k, key).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("_reach"))
+    return queries.join(reach, "query_id", "left")
+
+
+def _within(bound: Column, slack: Column) -> Column:
+    """Whether a row that is at least bound away may be among the nearest; slack covers rounding."""
+    return F.coalesce(bound <= F.col("_reach") + slack, F.lit(True))
+
+
+def knn_quantized_many(df: DataFrame, vector: str, queries: DataFrame, k: int, key: str, oversample: int = 4) -> DataFrame:
+    """The k rows nearest by L2 to each of queries (query_id, each once, and query), with query_id and `distance`; exact.
+    An estimate from signs and norm keeps oversample * k rows; the k-th of these then is a bound, and rows that by signs
+    and norm may lie within it are measured."""
+    df, queries = df.withColumn("_norm", norm(F.col(vector))), queries.select("query_id", "query", dot(F.col("query"), F.col("query")).alias("_q2"))
+    signs = F.aggregate(F.zip_with(F.col(vector), F.col("query"), lambda x, q: F.when(x >= 0, q).otherwise(-q)), F.lit(0.0), lambda s, x: s + x)
+    c, q2 = F.col("_norm"), F.col("_q2")
+    estimate = F.greatest(F.lit(0.0), q2 + c * c - 2 * c * F.sqrt(2 / (math.pi * F.greatest(F.lit(1), F.size("query")))) * signs)
+    few = _first(_pairs(df, vector, queries).withColumn("_estimate", estimate), oversample * k, "_estimate", key)
+    # a product with the query is most where the vector lies along those of the query's components that have its signs
+    agree = F.aggregate(F.zip_with(F.col(vector), F.col("query"), lambda x, q: F.when((x >= 0) == (q >= 0), q * q).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    bound = F.sqrt(F.greatest(F.lit(0.0), q2 + c * c - 2 * c * F.sqrt(agree)))
+    rest = _pairs(df, vector, _with_reach(queries, few, vector, k, key)).where(_within(bound, 1e-6 * (c + F.sqrt(q2))))
+    return _nearest(rest, vector, k, key).drop("query", "_norm", "_q2", "_reach")
+
+
 def knn_quantized(df: DataFrame, vector: str, query: Sequence[float], k: int, key: str, oversample: int = 4) -> DataFrame:
-    """L2 in two stages: an estimate from signs and norm keeps oversample * k rows, exact distances order them."""
-    q2, d = sum(x * x for x in query), max(1, len(query))
-    signs = F.aggregate(F.zip_with(F.col(vector), _array(query), lambda x, q: F.when(x >= 0, q).otherwise(-q)), F.lit(0.0), lambda s, x: s + x)
-    c = norm(F.col(vector))
-    estimate = F.greatest(F.lit(0.0), F.lit(q2) + c * c - 2 * c * math.sqrt(2 / (math.pi * d)) * signs)
-    few = df.where(F.size(vector) == len(query)).withColumn("_estimate", estimate).orderBy("_estimate", key).limit(oversample * k).drop("_estimate")
-    return knn(few, vector, query, k, "l2", key)
+    """As knn_quantized_many, for one query; nearest first."""
+    return knn_quantized_many(df, vector, one_query(df, query), k, key, oversample).drop("query_id").orderBy("distance", key)
 
 
 class Ivf:
-    """An inverted file: vectors by nearest of n_lists centroids, learned by k-means on at most sample rows; a search
-    reads the probes nearest lists only (a pushed-down filter on the list column, or partitions if written by it)."""
+    """An inverted file: vectors by nearest of n_lists centroids, learned by k-means on at most sample rows. A search
+    measures the probes nearest lists, and of the others the rows that by their own and the query's distance from the
+    centroid may lie as near as the k-th found there: exact."""
 
     def __init__(self, centroids: np.ndarray) -> None:
         self.centroids = centroids
@@ -79,27 +121,44 @@ class Ivf:
         model = KMeans(k=n_lists, seed=seed, maxIter=10).fit(rows)
         return cls(np.array(model.clusterCenters()))
 
-    def nearest(self, query: Sequence[float], probes: int) -> list[int]:
-        d = ((self.centroids - np.asarray(query)) ** 2).sum(1)
-        return [int(i) for i in np.lexsort((np.arange(len(d)), d))[:probes]]
-
     def assign(self, df: DataFrame, vector: str, to: str = "list_id") -> DataFrame:
+        """df with the list, and in `to`_far the distance from its centroid."""
+        centroids = self.centroids
+
+        @F.pandas_udf("list int, far double")
+        def lists(v: pd.Series) -> pd.DataFrame:
+            x = np.array(v.tolist(), dtype=np.float64).reshape(len(v), centroids.shape[1])
+            near = ((x**2).sum(1)[:, None] - 2 * x @ centroids.T + (centroids**2).sum(1)[None, :]).argmin(1)
+            return pd.DataFrame({"list": near.astype(np.int32), "far": np.sqrt(((x - centroids[near]) ** 2).sum(1))})
+
+        out = df.where(F.size(vector) == centroids.shape[1]).withColumn("_list", lists(F.col(vector)))
+        return out.withColumns({to: F.col("_list.list"), f"{to}_far": F.col("_list.far")}).drop("_list")
+
+    def search_many(self, assigned: DataFrame, vector: str, queries: DataFrame, k: int, probes: int, key: str, to: str = "list_id") -> DataFrame:
+        """For each of queries (query_id, each once, and query) the k nearest rows by L2, with query_id and `distance`."""
         centroids = self.centroids
 
-        @F.pandas_udf("int")
-        def lists(v: pd.Series) -> pd.Series:
-            x = np.array(v.tolist(), dtype=np.float64).reshape(len(v), -1)
-            d = (x**2).sum(1)[:, None] - 2 * x @ centroids.T + (centroids**2).sum(1)[None, :]
-            return pd.Series(d.argmin(1).astype(np.int32))
+        @F.pandas_udf("array<double>")
+        def far(q: pd.Series) -> pd.Series:
+            return q.map(lambda x: np.sqrt(((centroids - np.asarray(x)) ** 2).sum(1)))
+
+        def by_list(queries: DataFrame) -> DataFrame:
+            return queries.select("*", F.posexplode(far(F.col("query"))).alias(to, "_apart"))
 
-        return df.where(F.size(vector) == centroids.shape[1]).withColumn(to, lists(F.col(vector)))
+        queries = queries.select("query_id", "query").where(F.size("query") == centroids.shape[1])
+        few = assigned.join(_first(by_list(queries), probes, "_apart", to), to)
+        rest = assigned.join(by_list(_with_reach(queries, few, vector, k, key)), to)
+        own = F.col(f"{to}_far")
+        rest = rest.where(_within(F.abs(own - F.col("_apart")), 1e-9 * (own + F.col("_apart"))))
+        return _nearest(rest, vector, k, key).drop("query", "_apart", "_reach", f"{to}_far")
 
     def search(self, assigned: DataFrame, vector: str, query: Sequence[float], k: int, probes: int, key: str, to: str = "list_id") -> DataFrame:
-        return knn(assigned.where(F.col(to).isin(self.nearest(query, probes))), vector, query, k, "l2", key)
+        return self.search_many(assigned, vector, one_query(assigned, query), k, probes, key, to).drop("query_id").orderBy("distance", key)
 
 
 class ProductQuantizer:
-    """Vectors as one byte per subspace; distances to a query by table, then exact ones for the best."""
+    """Vectors as one byte per subspace. A search estimates distances by table, measures the best, and then all rows that
+    by estimate and error of their codes may lie as near as the k-th of these: exact."""
 
     def __init__(self, codebooks: np.ndarray) -> None:
         self.codebooks = codebooks  # parts x codes x width
@@ -122,20 +181,32 @@ class ProductQuantizer:
     def encode(self, df: DataFrame, vector: str, to: str = "pq") -> DataFrame:
         books = self.codebooks
 
-        @F.pandas_udf("array<int>")
-        def encode(v: pd.Series) -> pd.Series:
-            x = np.array(v.tolist(), np.float64).reshape(len(v), len(books), -1)
-            near = ((x[:, :, None, :] - books[None]) ** 2).sum(3).argmin(2)
-            return pd.Series(list(near.astype(np.int32)))
+        @F.pandas_udf("codes array<int>, error double")
+        def encode(v: pd.Series) -> pd.DataFrame:
+            x = np.array(v.tolist(), np.float64).reshape(len(v), len(books), books.shape[2])
+            d = ((x[:, :, None, :] - books[None]) ** 2).sum(3)
+            return pd.DataFrame({"codes": list(d.argmin(2).astype(np.int32)), "error": np.sqrt(d.min(2).sum(1))})
+
+        out = df.withColumn("_pq", encode(F.col(vector)))
+        return out.withColumns({to: F.col("_pq.codes"), f"{to}_error": F.col("_pq.error")}).drop("_pq")
+
+    def search_many(self, encoded: DataFrame, vector: str, queries: DataFrame, k: int, key: str, oversample: int = 8, to: str = "pq") -> DataFrame:
+        """For each of queries (query_id, each once, and query) the k nearest rows by L2, with query_id and `distance`."""
+        books = self.codebooks
+
+        @F.pandas_udf("array<array<double>>")
+        def tables(q: pd.Series) -> pd.Series:
+            return q.map(lambda x: list(((books - np.asarray(x, np.float64).reshape(len(books), 1, -1)) ** 2).sum(2)))
 
-        return df.withColumn(to, encode(F.col(vector)))
+        queries = queries.select("query_id", "query").where(F.size("query") == books.shape[0] * books.shape[2]).withColumn("_table", tables(F.col("query")))
+        adc = F.aggregate(F.zip_with(F.col("_table"), F.col(to), lambda row, c: F.get(row, c)), F.lit(0.0), lambda s, x: s + x)
+        few = _first(_pairs(encoded, vector, queries).withColumn("_adc", adc), oversample * k, "_adc", key)
+        error = F.col(f"{to}_error")
+        rest = _pairs(encoded, vector, _with_reach(queries, few, vector, k, key)).where(_within(F.sqrt(adc) - error, 1e-9 * (F.sqrt(adc) + error)))
+        return _nearest(rest, vector, k, key).drop("query", "_table", "_reach", f"{to}_error")
 
     def search(self, encoded: DataFrame, vector: str, query: Sequence[float], k: int, key: str, oversample: int = 8, to: str = "pq") -> DataFrame:
-        q = np.asarray(query, np.float64).reshape(len(self.codebooks), 1, -1)
-        table = F.lit(((self.codebooks - q) ** 2).sum(2).tolist()).cast("array<array<double>>")
-        estimate = F.aggregate(F.zip_with(table, F.col(to), lambda row, c: F.get(row, c)), F.lit(0.0), lambda s, x: s + x)
-        few = encoded.withColumn("_adc", estimate).orderBy("_adc", key).limit(oversample * k).drop("_adc")
-        return knn(few, vector, query, k, "l2", key)
+        return self.search_many(encoded, vector, one_query(encoded, query), k, key, oversample, to).drop("query_id").orderBy("distance", key)
 
 
 def scalar_quantized(df: DataFrame, vector: str, levels: int = 255, to: str = "codes") -> tuple[DataFrame, float, float]:

@@ -223,23 +223,28 @@ for _m, _d in (("l2", "list_distance(e, q)"), ("cosine", "list_cosine_distance(e
 said("knn_filtered", "embeddings", f"SELECT vec_id FROM embeddings WHERE label < 3 KNN embedding <|7|> {_QS}", f"SELECT vec_id FROM embeddings WHERE label < 3 ORDER BY list_distance(embedding::DOUBLE[], {_QS}::DOUBLE[]), vec_id LIMIT 7")
 
 
+def asked(e: DataFrame) -> DataFrame:
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
 @made("knn_quantized")
 def knn_quantized(spark: SparkSession, d: str) -> DataFrame:
-    return vector.knn_quantized(load(spark, d, "embeddings"), "embedding", _Q, 10, "vec_id").select("vec_id", "distance")
+    e = load(spark, d, "embeddings")
+    return vector.knn_quantized_many(e, "embedding", asked(e), 10, "vec_id").select("query_id", "vec_id", "distance")
 
 
 @made("knn_ivf")
 def knn_ivf(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "embeddings")
     index = vector.Ivf.fit(e, "embedding", 16)
-    return index.search(index.assign(e, "embedding"), "embedding", _Q, 10, 8, "vec_id").select("vec_id", "list_id", "distance")
+    return index.search_many(index.assign(e, "embedding"), "embedding", asked(e), 10, 8, "vec_id").select("query_id", "vec_id", "list_id", "distance")
 
 
 @made("knn_pq")
 def knn_pq(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "embeddings")
     pq = vector.ProductQuantizer.fit(e, "embedding", 16)
-    return pq.search(pq.encode(e, "embedding"), "embedding", _Q, 10, "vec_id").select("vec_id", "distance")
+    return pq.search_many(pq.encode(e, "embedding"), "embedding", asked(e), 10, "vec_id").select("query_id", "vec_id", "distance")
 
 
 @made("vector_normalize", "SELECT vec_id, round(sqrt(list_inner_product(e, e)), 4) AS norm, 1.0::DOUBLE AS unit FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)")

@@ -80,6 +80,27 @@ def test_index_recall(spark):
     assert min(hits) >= 0.9 * 50
 
 
+@pytest.mark.parametrize("name", ["knn_quantized", "knn_pq", "knn_ivf"])
+def test_registered_recall(spark, name):
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    got = {}
+    for r in queries.queries()[name](spark, d).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == {int(i) for i in ids if i % 20 == 0} and len(got) == 100
+    for i, q in zip(ids, x):
+        if i % 20 == 0:
+            assert got[i] == set(ids[np.lexsort((ids, ((x - q) ** 2).sum(1)))[:10]]), i
+
+
+def test_index_measures_all_where_few_are_near(spark):
+    df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(6)] + [(9, [1.0]), (10, None)], "id long, e array<double>")
+    assert [r["id"] for r in vector.knn_quantized(df, "e", [0.0, 0.0], 9, "id", 1).collect()] == [0, 1, 2, 3, 4, 5]
+    index = vector.Ivf(np.array([[0.0, 0.0], [5.0, 0.0]]))
+    assert [r["id"] for r in index.search(index.assign(df, "e"), "e", [2.4, 0.0], 4, 1, "id").collect()] == [2, 3, 1, 4]
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 2), (5, 6), (6, 5), (7, 7)], "src long, dst long")
     assert {r["node"]: r["component"] for r in graph.connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 7}
