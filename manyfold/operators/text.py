@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import settled
+
 K1, B = 1.2, 0.75
 
 
@@ -31,15 +34,13 @@ def bm25(docs: DataFrame, column: str, query: str, key: str, prefix: bool = Fals
     """key and score of the documents that have any of the query's terms (or a term that begins with one).
 
     Two passes without a shuffle of text: one gathers the number of documents, their mean length and each term's
-    document frequency (as many figures as terms); the other scores each row where it lies."""
+    document frequency (as many figures as terms); the other scores each row where it lies. Terms with a prefix may be
+    any number: there the matching words of each row are written down, and meet a table of terms."""
     words = tokens(F.col(column))
     terms = query_terms(query)
     base = docs.where(F.col(column).isNotNull()).select(F.col(key), words.alias("w"))
     if prefix and terms:
-        starts = F.lit(False)
-        for t in terms:
-            starts = starts | F.col("t").startswith(t)
-        terms = sorted(r["t"] for r in base.select(F.explode(F.array_distinct("w")).alias("t")).where(starts).distinct().limit(10_000).collect())
+        return _by_prefix(base, terms, key)
     if not terms:
         return docs.select(F.col(key), F.lit(0.0).alias("score")).where(F.lit(False))
     has = [F.count(F.when(F.array_contains("w", t), 1)) for t in terms]
@@ -52,6 +53,18 @@ def bm25(docs: DataFrame, column: str, query: str, key: str, prefix: bool = Fals
     return base.where(F.arrays_overlap("w", F.array(*[F.lit(t) for t in terms]))).select(key, total.alias("score"))
 
 
+def _by_prefix(base: DataFrame, prefixes: list[str], key: str) -> DataFrame:
+    starts = lambda t: functools.reduce(lambda a, b: a | b, [t.startswith(p) for p in prefixes])
+    n, mean = base.agg(F.count(F.lit(1)), F.avg(F.size("w"))).first()
+    rows = base.select(F.col(key).alias("_key"), F.size("w").alias("_len"), F.filter("w", starts).alias("_hits")).where(F.size("_hits") > 0)
+    rows = settled(rows.withColumn("_row", F.monotonically_increasing_id()), "hits")
+    tfs = rows.select("_row", "_key", "_len", F.explode("_hits").alias("_t")).groupBy("_row", "_key", "_len", "_t").agg(F.count(F.lit(1)).cast("double").alias("_tf"))
+    dfs = tfs.groupBy("_t").agg(F.count(F.lit(1)).alias("_df"))
+    idf = F.log(1 + (F.lit(n) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    part = idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.lit(float(mean or 1))))
+    return tfs.join(dfs, "_t").groupBy("_row", "_key").agg(F.sum(part).alias("score")).select(F.col("_key").alias(key), "score")
+
+
 def _equals(term: str) -> Callable[[Column], Column]:
     return lambda w: w == term
 

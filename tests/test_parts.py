@@ -160,6 +160,20 @@ def test_text(spark):
     assert {r["id"] for r in hits.collect()} == {1, 2} and hybrid.rescored(hits, docs, "id", "t", "xyz").first()["id"] == 2
 
 
+def test_prefix_takes_every_term(spark):
+    many = spark.range(12_000).select("id", F.concat(F.lit("abc"), F.col("id").cast("string")).alias("t"))
+    assert text.bm25(many, "t", "ab", "id", prefix=True).count() == 12_000
+    docs = [(1, "aba abb aba x"), (2, "abb y"), (2, "abb y"), (3, "z"), (4, None)]
+    ws = [t.split() for _, t in docs if t]
+    mean = sum(map(len, ws)) / len(ws)
+
+    def one(w):
+        return sum(math.log(1 + (len(ws) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in ("aba", "abb") for tf, df in [(w.count(t), sum(t in v for v in ws))])
+
+    got = sorted(tuple(r) for r in text.bm25(spark.createDataFrame(docs, "id long, t string"), "t", "ab", "id", prefix=True).collect())
+    assert [r[0] for r in got] == [1, 2, 2] and [r[1] for r in got] == pytest.approx([one(ws[0]), one(ws[1]), one(ws[2])])
+
+
 def test_geo(spark):
     one = spark.range(1)
     for lat, lon, want in ((42.605, -5.603, "ezs42"), (57.64911, 10.40744, "u4pru"), (-90.0, -180.0, "00000"), (90.0, 180.0, "zzzzz")):
