@@ -4,7 +4,8 @@ Terms are learned from labelled documents: words, or stems that begin many words
 others don't. All terms form one trie; its product with the Levenshtein automata of the terms (no edit up to 4
 letters, one from 5, two from 9) is a finite automaton over letters, built state by state as words need it, so a
 misspelled term costs what a plain one does. Each hit is weighed by how surely its term and distance meant a toxic
-label in training, and by its window of words: quotation marks around it and words that in training stood near hits
+label in training (0.45 at least for a misspelling that no harmless text has; one edit in a long term nearly as the
+term), and by its window of words: quotation marks around it and words that in training stood near hits
 in harmless documents (reporting, quoting) lower it; others raise it. A document's score is 1 - prod(1 - weight).
 
 Defined results: null and empty texts score 0, as all texts do where no label could be learned from. Repeated rows
@@ -31,6 +32,8 @@ from .common import extended
 
 #: Lengths of the stems that are tried.
 STEMS = (4, 5, 6, 7, 8, 10)
+#: A term from this length on is enough alone with one edit.
+LONG = 9
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = "\"“”„«»‘’‹›"
 _REPORTS = frozenset("said says quote quoted quoting called word term slur cites cited reported writes wrote dit cité mot sagte zitat wort dijo cita palabra".split())
@@ -270,9 +273,11 @@ def fit(rows: list[tuple[str, int]], max_terms: int = 400, min_docs: int = 4, wi
         row = []
         for distance in range(3):
             no, yes = seen.get((k, distance), [0, 0])
-            # of documents like the corpus; a misspelling is never enough alone, and one that harmless texts hold is none
-            sure = (yes + 0.1) / (yes + 0.1 + clean_weight * (no + 0.5)) if yes + no else 0.45
-            row.append(0.0 if sure < 0.3 else min(0.98, sure) if not distance else 0.45)
+            # of documents like the corpus
+            sure = (yes + 0.1) / (yes + 0.1 + clean_weight * (no + 0.5)) if yes + no else 0.0
+            if distance and not no:  # no harmless text speaks against it: a long term's misspelling nearly as the term
+                sure = max(sure, min(row[0], 0.6) if distance == 1 and len(terms[k][0]) >= LONG else 0.0, 0.45)
+            row.append(0.0 if sure < 0.3 else min(0.98, sure))
         lexicon.weights.append(row)
     with_hits = [sum(v[0] for v in near.values()), sum(v[1] for v in near.values())]
     if with_hits[0] >= 20:  # harmless documents with hits: only then is there anything to learn from windows

@@ -118,6 +118,23 @@ def test_toxicity_learns_and_spares_quotation(spark):
     assert score(None) == score("") == 0
 
 
+def test_one_misspelled_term_is_enough(spark):
+    rows = [(text(40, i) + (" worthless " if i % 3 == 0 else " ") + text(20, i + 1000), int(i % 3 == 0)) for i in range(300)]
+
+    def score(rows, t):
+        lexicon = toxicity.fit(rows)
+        return toxicity.score(t, lexicon, toxicity.Matcher(lexicon.terms), {})[0]
+
+    said = text(10, 5) + " worthles " + text(10, 6)
+    assert score(rows, said) >= 0.5 > score(rows, said.replace("worthles", "worthle"))
+    held = rows + [(text(60, 5000 + i) + " worthles", 0) for i in range(9)]
+    assert score(held, said) < 0.5 <= score(held, said.replace("worthles", "worthless"))
+    # short: by what training has of it
+    few = [(text(40, i) + (" idiot " if i % 3 == 0 else " ") + text(20, i + 1000), int(i % 3 == 0)) for i in range(300)]
+    some = few + [(text(60, 7000 + i) + " " + w, 1) for i, w in enumerate("idiat idoot idiut idxot ideot idyot".split())]
+    assert score(few, text(10, 5) + " idjot") < 0.5 <= score(some, text(10, 5) + " idjot")
+
+
 def test_toxicity_edges(spark, edge, none):
     lab = labels(spark, [(5, 1, 1), (5, 1, 0), (6, None, None), (None, 1, 1)])
     out = toxicity.predict(edge, toxicity.train(edge, lab)).collect()
