@@ -176,6 +176,16 @@ def ts_resample(spark: SparkSession, d: str) -> DataFrame:
     return timeseries.resampled(points(spark, d), "t", "v", *_GRID, by=("user_id",))
 
 
+@made("ts_resample_all", f"WITH p AS (SELECT user_id, t, max(v) AS v FROM ({_T}) WHERE t IS NOT NULL GROUP BY 1, 2), u AS (SELECT DISTINCT user_id FROM events), f AS (SELECT min(t) // {_GRID[2]} AS a, max(t) // {_GRID[2]} + 1 AS b FROM p), g AS (SELECT unnest(generate_series(a, b)) * {_GRID[2]} AS ts FROM f WHERE a IS NOT NULL) SELECT u.user_id, g.ts, arg_max(p.v, p.t) AS value FROM u CROSS JOIN g LEFT JOIN p ON p.user_id = u.user_id AND p.t <= g.ts GROUP BY 1, 2")
+def ts_resample_all(spark: SparkSession, d: str) -> DataFrame:
+    """ts_resample keeps the two days of its SQL; this grid goes from the place at or before the first event to the one
+    after the last, so every event is on it."""
+    p, step = points(spark, d), _GRID[2]
+    first, last = p.agg(F.min("t"), F.max("t")).first()
+    start, end = (0, 0) if first is None else (first // step * step, last // step * step + 2 * step)
+    return timeseries.resampled(p, "t", "v", start, end, step, by=("user_id",))
+
+
 @made("ts_rate", f"WITH l AS (SELECT user_id, t, v, lag(t) OVER w AS t0, lag(v) OVER w AS v0 FROM ({_T}) WINDOW w AS (PARTITION BY user_id ORDER BY t, v)) SELECT user_id, t AS ts, round((v - v0) / ((t - t0) / 1000.0), 6) AS rate FROM l WHERE t > t0")
 def ts_rate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(timeseries.rate(points(spark, d), "t", "v", ("user_id",)), rate=6)

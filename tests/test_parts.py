@@ -44,6 +44,18 @@ def test_time_series(spark):
             wrong()
 
 
+def test_resampled_grid_covers_all_events(spark):
+    d, step = "/root/testdata/sf0.001", 6 * 3_600_000
+    rows = [(r["user_id"], r["t"], r["v"]) for r in queries.points(spark, d).collect()]
+    got = {(r["user_id"], r["ts"]): r["value"] for r in queries.queries()["ts_resample_all"](spark, d).collect()}
+    first, last = min(t for _, t, _ in rows), max(t for _, t, _ in rows)
+    places, users = {ts for _, ts in got}, {u for u, _, _ in rows}
+    assert min(places) <= first < min(places) + step and max(places) - step <= last < max(places)
+    assert len(got) == len(users) * len(places) and len(places) == (max(places) - min(places)) // step + 1
+    for u in users:
+        assert got[u, max(places)] == max((t, v) for w, t, v in rows if w == u)[1]
+
+
 def test_stream(spark, tmp_path):
     rows = spark.range(40).select((F.col("id") * 1000).alias("ms"), F.col("id").cast("double").alias("v")).select(F.timestamp_millis("ms").alias("ts"), "v")
     rows.write.parquet(str(tmp_path / "in"))
