@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 SPACES = " \t\n\x0b\x0c\r"
 _made: list[tuple[SparkSession, str]] = []
 _own: dict = {}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: 64-bit words of a table of marks, at most: its size bounds what is sent to every task.
+MOST_WORDS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,19 +40,35 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def written(df: DataFrame, name: str, release: bool = True) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, with its path: lineage ends there and lost executors cost nothing.
-    release: have the driver collect its garbage, so that the shuffle files of what was written go now, not at some
-    later collection."""
+    The write's own shuffle files go when it is done."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     track(spark, path)
-    if release:
-        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def perhaps(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose column key may stand in ids (one column), and few others; no row of df is moved. ids mark
+    bits of a table of at most MOST_WORDS words, 16 bits or more for an id while there are under four million of them.
+    With more ids more others pass, so an exact join has to follow."""
+    words = MOST_WORDS >> max(0, MOST_WORDS.bit_length() - 1 - max(10, (ids.count() // 4).bit_length()))
+    word, bit, hashed = unused(df, "word"), unused(df, "bit"), unused(df, "hashed")
+    at = lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(words - 1))
+    mask = lambda c: F.expr(f"shiftleft(1L, cast(`{c}` & 63 as int))")
+    marks = ids.select(F.xxhash64(ids.columns[0]).alias(hashed)).select(at(F.col(hashed)).alias(word), mask(hashed).alias(bit))
+    marks, _ = written(marks.groupBy(word).agg(F.bit_or(bit).alias(bit)), "marks")
+    rows = df.withColumn(hashed, F.xxhash64(key)).withColumn(word, at(F.col(hashed)))
+    return rows.join(F.broadcast(marks), word).where(F.col(bit).bitwiseAND(mask(hashed)) != 0).select(*df.columns)
+
+
 def track(spark: SparkSession, path: str) -> None:
     """Remove path when the session ends."""
     _made.append((spark, path))

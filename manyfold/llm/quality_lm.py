@@ -1,22 +1,24 @@
 """Quality by language model: an interpolated modified Kneser-Ney n-gram model of characters, trained on trusted text.
 
-Symbols are 11 bits: code points below 1536 are themselves, others fold into 511 classes, 0 is the boundary before a
-text; a gram of ORDER symbols is one long, and its context, its last symbols and its shard are bits of it.
+Symbols are 16 bits: code points below U+10000 are themselves (U+0000 is U+FFFE), those beyond fold into the 8,448 of
+U+D800 to U+F8FF, which are surrogates or private; 0 is the boundary before a text. A gram of ORDER symbols is one
+long, and its context and its last symbols are bits of it.
 
 Counting: tasks count the grams of trusted texts slice by slice, partial counts are added by a shuffle. Lower orders
 take continuation counts from the distinct grams one order up. Discounts for counts of 1, 2 and more come from the
-counts of counts of each order. Discounted probabilities and context weights lie in shards by the two symbols before
-the last, so whatever a gram's interpolation needs is in its shard, but for the two lowest orders, whose size the
-alphabet bounds (2048 * 2048) and which all tasks are given.
+counts of counts of each order. Discounted probabilities and context weights lie in shards of some ROWS_PER_SHARD rows,
+by the symbol before the last, spread over SPREAD shards by the one before that; so whatever a gram's interpolation
+needs is in its shard (rows of order 2 are in all SPREAD of them), but for order 1, at most SYMBOLS figures.
 
 Scoring: documents lie in blocks of neighbouring rows. A block's distinct grams, each once however often and in
 however many documents it stands, go to the shards as sorted packed arrays, meet the counts there (the sharded count
 join), and come back as log probabilities to where the block's texts wait, packed. So a frequent gram crosses the
-network once per block. Perplexity is per symbol.
+network once per block. A shard has a copy for every BLOCKS_PER_COPY blocks, so tasks grow with model and corpus.
+Perplexity is per symbol.
 
 Thresholds: per language a quantile of the perplexity of trusted texts that weren't trained on; languages with too few
 of those take the quantile of all. The model grows with the trusted text; nothing of it passes through the driver but
-counts of counts and the two lowest orders.
+counts of counts and the lowest order.
 
 Defined results: a null or empty text has no perplexity and is rejected. A null language counts as `und`. Without
 trusted text all grams are alike and nothing is rejected but empty texts. Repeated rows and ids are scored one by
@@ -25,6 +27,7 @@ one; labels that repeat an id are trusted if any is. Input columns with the name
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,17 +39,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkit as tk
-from .common import extended, unused, written
+from .common import extended, perhaps, unused, written
 
-ORDER, BITS, SYMBOLS = 4, 11, 2048
+ORDER, BITS, SYMBOLS = 4, 16, 1 << 16
 M1, M2 = SYMBOLS - 1, SYMBOLS**2 - 1
 ROWS_PER_BLOCK = 8192
+ROWS_PER_SHARD, SPREAD, BLOCKS_PER_COPY = 1_000_000, 8, 128
+#: Tasks of a stage; beyond that each takes several cells one after the other.
+MOST_TASKS = 50_000
 RESULTS = ["lm_symbols", "perplexity"]
 
 
 def _symbol_table() -> np.ndarray:
     cp = np.arange(0x110000, dtype=np.int64)
-    return np.where(cp < 1536, cp + 1, 1537 + cp * 2654435761 % 4294967296 % 511).astype(np.int64)
+    out = np.where(cp < SYMBOLS, cp, 0xD800 + cp * 2654435761 % 4294967296 % 0x2100)
+    out[0] = 0xFFFE
+    return out
 
 
 _table: np.ndarray | None = None
@@ -99,19 +107,6 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k + 0.95) for k, x in enumerate(d))
 
 
-@dataclass
-class Low:
-    """Orders 1 and 2: p1 and gamma2 by symbol, the discounted part of order 2 by sorted key."""
-
-    p1: np.ndarray
-    gamma2: np.ndarray
-    keys2: np.ndarray
-    alpha2: np.ndarray
-
-    def p2(self, key: np.ndarray) -> np.ndarray:
-        return _at(self.keys2, self.alpha2, key, 0.0) + self.gamma2[key >> BITS] * self.p1[key & M1]
-
-
 def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: float) -> np.ndarray:
     if not len(keys):
         return np.full(len(wanted), otherwise)
@@ -119,69 +114,69 @@ def _at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, otherwise: flo
     return np.where(keys[i] == wanted, values[i], otherwise)
 
 
-def shard_of(two: Column | np.ndarray, shards: int) -> Column | np.ndarray:
-    """The shard of two symbols, in Spark and in numpy alike."""
-    if isinstance(two, Column):
-        return F.pmod((two * 40503).bitwiseXOR(F.shiftright(two, 7)), F.lit(shards)).cast("int")
-    return (((two * 40503) ^ (two >> 7)) % shards).astype(np.int32)
+def shard_of(gram: Column | np.ndarray, shards: int, off: Column | int | None = None) -> Column | np.ndarray:
+    """The shard of a gram that ends with the symbol before the last, in Spark and in numpy alike. off: where among that
+    symbol's shards, if not by the symbol before it."""
+    spread = min(SPREAD, shards)
+    if isinstance(gram, Column):
+        last, before = gram.bitwiseAND(M1), F.shiftrightunsigned(gram, BITS).bitwiseAND(M1)
+        mixed = lambda x: (x * 40503).bitwiseXOR(F.shiftright(x, 7))
+        return F.pmod(mixed(last) + (F.pmod(mixed(before), F.lit(spread)) if off is None else off), F.lit(shards)).cast("int")
+    last, before = gram & M1, (gram >> BITS) & M1
+    return ((((last * 40503) ^ (last >> 7)) + ((before * 40503) ^ (before >> 7)) % spread) % shards).astype(np.int32)
 
 
 @dataclass
 class Model:
-    """rows: shard, part (2 * order, and one more for context weights), key, value; low: the two lowest orders."""
+    """rows: shard, part (2 * order, and one more for context weights), key, value; p1: order 1, by symbol."""
 
     rows: DataFrame
-    low: Low
+    p1: np.ndarray
     shards: int
 
 
 def train(texts: DataFrame, shards: int | None = None) -> Model:
     """A model of all rows of texts (column text)."""
-    spark = texts.sparkSession
-    shards = shards or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = {ORDER: written(count_grams(texts), "lm-counts")[0]}
     for k in range(ORDER - 1, 0, -1):  # distinct grams one order up, by their last k symbols
         mask = F.lit((1 << (BITS * k)) - 1)
         counts[k] = written(counts[k + 1].groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.count(F.lit(1)).alias("c")), f"lm-counts{k}")[0]
-    rows = None
-    low: dict = {}
-    for k in range(ORDER, 0, -1):
-        c, key = F.col("c"), F.col("key")
-        ones = counts[k].agg(*[F.count(F.when(c == i, 1)) for i in (1, 2, 3, 4)], F.sum("c"), F.count(F.lit(1))).first()
+    c, key = F.col("c"), F.col("key")
+    found = {k: counts[k].agg(*[F.count(F.when(c == i, 1)) for i in (1, 2, 3, 4)], F.sum("c"), F.count(F.lit(1))).first() for k in counts}
+    shards = shards or max(8, -(-2 * sum(r[5] for r in found.values()) // ROWS_PER_SHARD))
+    every = F.explode(F.sequence(F.lit(0), F.lit(min(SPREAD, shards) - 1)))
+    rows = []
+    p1 = np.full(SYMBOLS, 1 / SYMBOLS)
+    for k, ones in found.items():
         d1, d2, d3 = discounts(*ones[:4])
         less = F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
         if k == 1:
-            low["p1"] = np.full(SYMBOLS, 1 / SYMBOLS)
             if ones[5]:
-                found = counts[1].select("key", ((c - less) / ones[4]).alias("a"), (less / ones[4]).alias("g")).collect()  # at most SYMBOLS
-                low["p1"] *= sum(r["g"] for r in found)
-                for r in found:
-                    low["p1"][r["key"]] += r["a"]
-            break
-        by = counts[k].withColumn("h", F.shiftright(key, BITS)).withColumn("less", less)
+                own = counts[1].select("key", ((c - less) / ones[4]).alias("a"), (less / ones[4]).alias("g")).collect()  # at most SYMBOLS
+                p1 *= sum(r["g"] for r in own)
+                for r in own:
+                    p1[r["key"]] += r["a"]
+            continue
+        by = counts[k].withColumn("h", F.shiftrightunsigned(key, BITS)).withColumn("less", less)
         context = by.groupBy("h").agg(F.sum("c").alias("total"), F.sum("less").alias("off"))
-        alpha = by.join(context, "h").select("key", ((c - F.col("less")) / F.col("total")).alias("value"))
-        gamma = context.select(F.col("h").alias("key"), (F.col("off") / F.col("total")).alias("value"))
+        alpha = by.join(context, "h").select(F.lit(2 * k).alias("part"), "h", "key", ((c - F.col("less")) / F.col("total")).alias("value"))
+        gamma = context.select(F.lit(2 * k + 1).alias("part"), "h", F.col("h").alias("key"), (F.col("off") / F.col("total")).alias("value"))
+        both = alpha.union(gamma)
         if k == 2:
-            two = sorted((r["key"], r["value"]) for r in alpha.collect())  # at most SYMBOLS ** 2
-            low["keys2"], low["alpha2"] = np.array([x for x, _ in two], np.int64), np.array([x for _, x in two], np.float64)
-            low["gamma2"] = np.ones(SYMBOLS)
-            for r in gamma.collect():
-                low["gamma2"][r["key"]] = r["value"]
+            rows.append(both.withColumn("at", every).select(shard_of(F.col("h"), shards, F.col("at")).alias("shard"), "part", "key", "value"))
         else:
-            a = alpha.select(shard_of(F.shiftright(key, BITS).bitwiseAND(M2), shards).alias("shard"), F.lit(2 * k).alias("part"), "key", "value")
-            g = gamma.select(shard_of(key.bitwiseAND(M2), shards).alias("shard"), F.lit(2 * k + 1).alias("part"), "key", "value")
-            rows = a.union(g) if rows is None else rows.union(a).union(g)
-    return Model(written(rows, "lm-model")[0], Low(low["p1"], low["gamma2"], low["keys2"], low["alpha2"]), shards)
+            rows.append(both.select(shard_of(F.col("h"), shards).alias("shard"), "part", "key", "value"))
+    return Model(written(functools.reduce(DataFrame.union, rows), "lm-model")[0], p1, shards)
 
 
-def log_probabilities(keys: np.ndarray, parts: dict[int, tuple[np.ndarray, np.ndarray]], low: Low) -> np.ndarray:
+def log_probabilities(keys: np.ndarray, parts: dict[int, tuple[np.ndarray, np.ndarray]], p1: np.ndarray) -> np.ndarray:
     """ln p of grams of full order, given their shard's rows by part (sorted keys, values)."""
     none = (np.zeros(0, np.int64), np.zeros(0))
-    p = low.p2(keys & M2)
-    for k in range(3, ORDER + 1):
-        gram = keys & ((1 << (BITS * k)) - 1)
-        p = _at(*parts.get(2 * k, none), gram, 0.0) + _at(*parts.get(2 * k + 1, none), gram >> BITS, 1.0) * p
+    p = p1[keys & M1]
+    for k in range(2, ORDER + 1):
+        gram = keys & ((1 << (BITS * k)) - 1) if k < ORDER else keys
+        context = (gram >> BITS) & ((1 << (BITS * (k - 1))) - 1)
+        p = _at(*parts.get(2 * k, none), gram, 0.0) + _at(*parts.get(2 * k + 1, none), context, 1.0) * p
     return np.log(np.maximum(p, 1e-12))
 
 
@@ -241,12 +236,15 @@ def _same(ids: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip([0, *cut.tolist()], [*cut.tolist(), len(ids)]) if len(ids) else ()
 
 
-def answers(asked: DataFrame, model: Model) -> DataFrame:
+def answers(asked: DataFrame, model: Model, copies: int = 1) -> DataFrame:
     """block, n, keys, logs: what was asked, with log probabilities (float32)."""
-    rows = model.rows.select("shard", F.lit(None).cast("long").alias("block"), "part", "key", "value", F.lit(None).cast("binary").alias("keys"))
-    rows = rows.unionByName(asked.select("shard", "block", F.lit(0).alias("part"), F.col("n").alias("key"), F.lit(0.0).alias("value"), "keys"))
-    rows = rows.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("block"), "part", "key")
-    low = asked.sparkSession.sparkContext.broadcast(model.low)  # bounded by the alphabet
+    rows = model.rows.select("shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(None).cast("long").alias("block"), "part", "key", "value", F.lit(None).cast("binary").alias("keys"))
+    rows = rows.unionByName(asked.select("shard", F.pmod("block", F.lit(copies)).cast("int").alias("copy"), "block", F.lit(0).alias("part"), F.col("n").alias("key"), F.lit(0.0).alias("value"), "keys"))
+    cells = min(model.shards * copies, MOST_TASKS)
+    rows = rows.withColumn("cell", F.col("copy") * model.shards + F.col("shard")).drop("copy", "shard")
+    rows = rows.repartitionById(cells, F.pmod("cell", F.lit(cells))).sortWithinPartitions("cell", F.asc_nulls_first("block"), "part", "key")
+    rows = rows.select("cell", "block", "part", "key", "value", "keys")
+    p1 = asked.sparkSession.sparkContext.broadcast(model.p1)  # SYMBOLS figures
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, parts = None, [], {}
@@ -265,7 +263,7 @@ def answers(asked: DataFrame, model: Model) -> DataFrame:
                     parts, held = {k: (key[cut[k] : cut[k + 1]], value[cut[k] : cut[k + 1]]) for k in range(2 * ORDER + 2)}, []
                 for i in range(stop, b):
                     n, raw = batch.column(3)[i].as_py(), batch.column(5)[i].as_py()
-                    logs = log_probabilities(_unpacked(raw, n), parts, low.value).astype(np.float32)
+                    logs = log_probabilities(_unpacked(raw, n), parts, p1.value).astype(np.float32)
                     out.append((block[i].as_py(), n, raw, logs.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["block", "n", "keys", "logs"])
@@ -296,7 +294,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lm_symbols (long) and perplexity (double; null where there is no symbol)."""
     docs = docs.drop(*[c for c in RESULTS if c in docs.columns])
     blocks, block = _blocks(docs)
-    said, _ = written(answers(requests(blocks, block, model.shards), model), "lm-answers")
+    copies = 1 + docs.count() // (ROWS_PER_BLOCK * BLOCKS_PER_COPY)
+    said, _ = written(answers(requests(blocks, block, model.shards), model, copies), "lm-answers")
     rows = said.select("block", F.lit(0).alias("kind"), "n", "keys", "logs")
     rows = rows.unionByName(_payloads(blocks, block).select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n"), F.col("payload").alias("keys"), F.lit(None).cast("binary").alias("logs")))
     rows = rows.repartition("block").sortWithinPartitions("block", "kind")
@@ -346,7 +345,9 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: fl
     docs = docs.drop(*[c for c in ("threshold", "kept") if c in docs.columns])
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     aside = F.crc32(F.col("doc_id").cast("string")) % folds == 0
-    model = train(docs.select("doc_id", "text").join(good.where(~aside).hint("shuffle_hash"), "doc_id", "left_semi").select("text"))
+    teachers = good.where(~aside)
+    near = perhaps(docs.select("doc_id", "text"), "doc_id", teachers)  # so that few other texts are moved
+    model = train(near.join(teachers.hint("shuffle_hash"), "doc_id", "left_semi").select("text"))
     table, _ = written(scored(docs, model), "lm-scored")
     lang = F.coalesce(F.col("lang"), F.lit("und"))
     calibration = table.select("doc_id", lang.alias("lang"), "perplexity").where(aside).join(good.where(aside), "doc_id", "left_semi")

@@ -146,9 +146,9 @@ def test_toxicity_edges(spark, edge, none):
 
 
 def test_model_agrees_with_plain_kneser_ney(spark):
-    texts = ["abab abc", "abc abc", "ab ba"]
-    model = quality_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), shards=3)
-    n, sym = quality_lm.ORDER, lambda s: [0] * (quality_lm.ORDER - 1) + [ord(c) + 1 for c in s]
+    texts = ["abab abc", "abc abc", "ab ba", "漢字漢字", "\uffed漢字"]
+    model = quality_lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), shards=13)
+    n, sym = quality_lm.ORDER, lambda s: [0] * (quality_lm.ORDER - 1) + [ord(c) for c in s]
     counts = {n: {}}
     for t in texts:
         s = sym(t)
@@ -174,7 +174,7 @@ def test_model_agrees_with_plain_kneser_ney(spark):
         own = ctx.get(g, 0)
         return ((own - off(own)) if own else 0) / total + sum(map(off, ctx.values())) / total * p(k - 1, g[1:])
 
-    asked = ["abc", "cab", "zz", "abab abc"]
+    asked = ["abc", "cab", "zz", "abab abc", "漢字ab", "字漢", "\uffed漢\uffed漢字", "\ufff0字漢字"]
     got = {r["text"]: r for r in quality_lm.scored(spark.createDataFrame([(t,) for t in asked], "text string"), model).collect()}
     for t in asked:
         s = sym(t)
