@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkit as tk
-from .common import extended, perhaps, unused, written
+from .common import extended, perhaps, remove, unused, written
 
 ORDER, BITS, SYMBOLS = 4, 16, 1 << 16
 M1, M2 = SYMBOLS - 1, SYMBOLS**2 - 1
@@ -341,17 +341,22 @@ def thresholds(calibration: DataFrame, quantile: float, slack: float, least: int
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.05, least: int = 50, folds: int = 5) -> DataFrame:
     """docs with lm_symbols, perplexity, threshold and kept. Trusted: labelled of quality 1; those with crc32(doc_id)
-    mod folds = 0 calibrate the thresholds, the others train."""
+    mod folds = 0 calibrate the thresholds, scored before the rest, so that no scored text waits for them; the others
+    train."""
     docs = docs.drop(*[c for c in ("threshold", "kept") if c in docs.columns])
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     aside = F.crc32(F.col("doc_id").cast("string")) % folds == 0
-    teachers = good.where(~aside)
-    near = perhaps(docs.select("doc_id", "text"), "doc_id", teachers)  # so that few other texts are moved
-    model = train(near.join(teachers.hint("shuffle_hash"), "doc_id", "left_semi").select("text"))
-    table, _ = written(scored(docs, model), "lm-scored")
+
+    def those(ids: DataFrame, *columns: str) -> DataFrame:
+        """Columns of the documents of ids: few other texts are moved (a semi-join would be pushed below the marks)."""
+        return perhaps(docs.select("doc_id", *columns), "doc_id", ids).join(ids.hint("shuffle_hash"), "doc_id").select(*columns)
+
+    model = train(those(good.where(~aside), "text"))
     lang = F.coalesce(F.col("lang"), F.lit("und"))
-    calibration = table.select("doc_id", lang.alias("lang"), "perplexity").where(aside).join(good.where(aside), "doc_id", "left_semi")
-    limits, _ = written(thresholds(calibration, quantile, slack, least), "lm-thresholds")
+    calibration, aside_path = written(those(good.where(aside), "lang", "text"), "lm-aside")
+    limits, _ = written(thresholds(scored(calibration, model).select(lang.alias("lang"), "perplexity"), quantile, slack, least), "lm-thresholds")
+    remove(docs.sparkSession, aside_path)
+    table = scored(docs, model)
     own, general = limits.where("lang is not null").select(F.col("lang").alias("of"), F.col("threshold").alias("own")), limits.where("lang is null").first()
     small = limits.count() <= 100_000
     out = table.join(F.broadcast(own) if small else own, lang == F.col("of"), "left")
