@@ -331,6 +331,36 @@ def test_near_duplicate_edges(spark, edge, none):
     assert neardup.linked(none).count() == neardup.deduplicated(none).count() == 0
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    a, b, c = text(60, 1), text(60, 2), text(60, 3)
+    rows = [(1, a), (1, b), (1, b), (2, b + " more"), (3, a), (3, c), (4, c.upper()), (4, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.linked(df, 2, 80).collect())
+    assert got == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (3, 3, True), (4, 3, False), (4, 3, False)]
+    assert sorted(tuple(r) for r in neardup.deduplicated(df, width=2).collect()) == sorted([(1, a), (1, b), (3, c)])
+
+
+def test_near_duplicates_on_a_whole_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r["component_id"] for r in queries.op6_minhash_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert got == brute.components(rows, 2, 80)
+
+
+def test_least_shared_bounds_the_chance_of_a_miss():
+    for miss in (1e-8, 1e-4):
+        m = neardup.least_shared(64, 80, miss)
+        tail = lambda m: sum(math.comb(64, i) * 0.8**i * 0.2 ** (64 - i) for i in range(m))
+        assert tail(m) <= miss < tail(m + 1)
+    assert neardup.least_shared(64, 80, 0) == 1
+
+
+def test_components_raise_when_not_settled(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert {r["comp"] for r in neardup.components(path, "t").collect()} == {0}
+    with pytest.raises(RuntimeError):
+        neardup.components(path, "t", most_rounds=2)
+
+
 # -- 7 fingerprints
 
 
