@@ -2,7 +2,8 @@
 
 The kernel of two texts is the blended-spectrum presence kernel: the number of character n-grams (n = 1..3, lower
 case) that both contain, over the geometric mean of the numbers that each contains, counted over the n-grams that
-any landmark has. Landmarks are a bounded sample of labelled texts (Nyström); one-versus-rest kernel ridge
+any landmark has. Letters that are common in some language are symbols of their own, the others share CLASSES symbols
+by their block of 256 code points, so scripts stay apart. Landmarks are a bounded sample of labelled texts (Nyström); one-versus-rest kernel ridge
 regression is solved in the landmarks' span, and a batch of texts is scored by two matrix products.
 
 Defined results: a text that is null or has no letter gets `und`, score 0, as every text does when nothing could be
@@ -13,6 +14,7 @@ input columns of their names.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +29,10 @@ from . import textkit as tk
 from .common import extended
 
 UNKNOWN = "und"
-SYMBOLS = 64
+SYMBOLS, BITS, CLASSES = 128, 7, 16
+#: Cells of the matrix of texts and n-grams that are worked on at once.
+CELLS = 1 << 24
+MOST_LANDMARKS = 4096
 _LETTER = regex.compile(r"\p{L}")
 _GRAMS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 
@@ -44,32 +49,38 @@ class Model:
     weights: np.ndarray
 
 
-def sample(docs: DataFrame, teach, per_language: int, max_chars: int, max_languages: int) -> list[tuple[str, str]]:
-    """(text, language) of up to per_language teaching rows of each of the max_languages commonest languages, by hash
-    order. Rows are first chosen without their texts, then only the chosen texts are read."""
+def sample(docs: DataFrame, teach, per_language: int, max_chars: int, max_rows: int, max_languages: int = 4096) -> list[tuple[str, str]]:
+    """(text, language) of teaching rows by hash order: up to per_language of each language, fewer where that would make
+    more than max_rows. Every language takes part; more than max_languages are an error of the tags. Rows are first
+    chosen without their texts, then only the chosen texts are read."""
     rows = docs.where(teach & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
     keys = rows.select("lang", F.xxhash64("doc_id", "lang").alias("h"))
-    top = [r[0] for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    n = keys.select("lang").distinct().count()
+    if n > max_languages:
+        raise ValueError(f"{n} languages, at most {max_languages} can be learned")
+    per_language = max(1, min(per_language, max_rows // max(1, n)))
     order = Window.partitionBy("lang").orderBy("h")  # the limit is applied before the shuffle too
-    last = keys.where(F.col("lang").isin(top)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).groupBy("lang").agg(F.max("h").alias("h")).collect()
-    chosen = F.lit(False)
-    for r in last:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.xxhash64("doc_id", "lang") <= r["h"]))
-    picked = rows.where(chosen).select("text", "lang").limit(2 * per_language * max(1, len(top))).collect() if last else []
+    last = keys.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
+    chosen = rows.join(F.broadcast(last), "lang").where(F.xxhash64("doc_id", "lang") <= F.col("last"))
+    picked = chosen.select("text", "lang").limit(2 * per_language * max(1, n)).collect() if n else []
     return sorted((r["text"], r["lang"]) for r in picked)
 
 
-def _symbols(texts: list[str]) -> np.ndarray:
-    """0: no letter; 1..62: the commonest letters of the texts; 63: any other letter."""
-    cps, n = np.unique(tk.code_points(tk.plain(pa.array([t.lower() for t in texts])))[0], return_counts=True)
-    letters = [c for _, c in sorted((-k, int(c)) for c, k in zip(cps, n) if chr(int(c)).isalpha())][: SYMBOLS - 2]
+def _symbols(texts: list[tuple[str, str]]) -> np.ndarray:
+    """0: no letter; then the languages' commonest letters, in turn; the last CLASSES: any other letter."""
+    ranked = []
+    for lang in sorted({x for _, x in texts}):
+        cps, n = np.unique(tk.code_points(tk.plain(pa.array([t.lower() for t, x in texts if x == lang])))[0], return_counts=True)
+        ranked.append([c for _, c in sorted((-k, int(c)) for c, k in zip(cps, n) if chr(int(c)).isalpha())])
+    turns = [c for row in itertools.zip_longest(*ranked) for c in row if c is not None]
+    letters = list(dict.fromkeys(turns))[: SYMBOLS - CLASSES - 1]
     rank = {c: i + 1 for i, c in enumerate(letters)}
     table = np.zeros(0x110000, np.uint8)
     for c in range(0x110000):
         s = chr(c)
         if s.isalpha():
-            low = s.lower()
-            table[c] = rank.get(ord(low[0]), SYMBOLS - 1)
+            low = ord(s.lower()[0])
+            table[c] = rank.get(low) or SYMBOLS - CLASSES + (low >> 8) * 40503 % 65536 % CLASSES
     return table
 
 
@@ -84,11 +95,11 @@ def _codes(texts: pa.Array, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, n
     s, owner = s[keep], owner[keep]
     yield owner, s
     same = owner[1:] == owner[:-1]
-    two = (s[:-1] << 6) | s[1:]
+    two = (s[:-1] << BITS) | s[1:]
     yield owner[1:][same], two[same] + SYMBOLS
     if len(s) > 2:
         same = owner[2:] == owner[:-2]
-        yield owner[2:][same], ((two[:-1] << 6) | s[2:])[same] + (SYMBOLS + SYMBOLS**2)
+        yield owner[2:][same], ((two[:-1] << BITS) | s[2:])[same] + (SYMBOLS + SYMBOLS**2)
 
 
 def _presence(texts: pa.Array, symbols: np.ndarray, grams: np.ndarray, width: int) -> np.ndarray:
@@ -102,8 +113,9 @@ def _presence(texts: pa.Array, symbols: np.ndarray, grams: np.ndarray, width: in
 def fit(rows: list[tuple[str, str]], landmarks_per_language: int = 48, ridge: float = 1e-2) -> Model:
     """A model of (text, language) rows; the first rows of each language, in the order given, are its landmarks."""
     languages = sorted({lang for _, lang in rows})
-    marks = [t for lang in languages for t in [t for t, x in rows if x == lang][:landmarks_per_language]]
-    symbols = _symbols(marks)
+    landmarks_per_language = max(1, min(landmarks_per_language, MOST_LANDMARKS // max(1, len(languages))))
+    pairs = [p for lang in languages for p in [p for p in rows if p[1] == lang][:landmarks_per_language]]
+    marks, symbols = [t for t, _ in pairs], _symbols(pairs)
     grams = np.full(_GRAMS, -1, np.int32)
     codes = [c for _, c in _codes(tk.plain(pa.array(marks, pa.large_string())), symbols)] if marks else []
     used = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
@@ -121,16 +133,17 @@ def fit(rows: list[tuple[str, str]], landmarks_per_language: int = 48, ridge: fl
     return Model(languages, symbols, grams, np.ascontiguousarray(at.T), weights.astype(np.float32))
 
 
-def train(docs: DataFrame, teach=None, per_language: int = 256, landmarks_per_language: int = 48, max_chars: int = 20_000, max_languages: int = 64) -> Model:
+def train(docs: DataFrame, teach=None, per_language: int = 256, landmarks_per_language: int = 48, max_chars: int = 20_000, max_rows: int = 16_384) -> Model:
     """Learn from documents (doc_id, text, lang) for which teach holds. Bounds of the sample: per_language whole texts
-    of at most max_chars characters for each of at most max_languages languages."""
-    return fit(sample(docs, F.lit(True) if teach is None else teach, per_language, max_chars, max_languages), landmarks_per_language)
+    of at most max_chars characters for each language, and about max_rows in all; MOST_LANDMARKS landmarks in all."""
+    return fit(sample(docs, F.lit(True) if teach is None else teach, per_language, max_chars, max_rows), landmarks_per_language)
 
 
 def score_texts(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     langs: list[str] = []
     scores: list[np.ndarray] = []
-    for a, b in tk.slices(texts):
+    most = max(1, CELLS // (len(model.landmarks) + 1))
+    for a, b in ((x, min(b, x + most)) for a, b in tk.slices(texts) for x in range(a, b, most)):
         part = texts.slice(a, b - a)
         if model.languages:
             s = _presence(part, model.symbols, model.grams, len(model.landmarks)) @ model.landmarks @ model.weights

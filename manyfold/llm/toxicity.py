@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import extended
 
@@ -35,7 +34,8 @@ STEMS = (4, 5, 6, 7, 8, 10)
 #: A term from this length on is enough alone with one edit.
 LONG = 9
 _WORD = re.compile(r"[^\W_]+")
-_QUOTES = "\"“”„«»‘’‹›"
+#: Without the apostrophe's forms, of which contractions have pairs.
+_QUOTES = "\"“”„«»‹›"
 _REPORTS = frozenset("said says quote quoted quoting called word term slur cites cited reported writes wrote dit cité mot sagte zitat wort dijo cita palabra".split())
 
 
@@ -120,7 +120,7 @@ class Matcher:
                     out.add((to, e))
                 elif e < self.most[to]:
                     out.add((to, e + 1))
-            if e < self.most[node] and node:  # a letter too many; before the term's first letter it may be another word
+            if e < self.most[node]:  # a letter too many
                 out.add((node, e + 1))
         to = self._state(self._close(out)) if out else -1
         if known:
@@ -210,7 +210,7 @@ def _without_copies(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return out
 
 
-def fit(rows: list[tuple[str, int]], max_terms: int = 400, min_docs: int = 4, window: int = 6, clean_weight: float = 8.0) -> Lexicon:
+def fit(rows: list[tuple[str, int]], min_docs: int = 4, window: int = 6, clean_weight: float = 8.0) -> Lexicon:
     """A lexicon of (text, toxic 0 or 1) rows. clean_weight: harmless documents in the corpus for each in the sample, toxic
     ones counting once."""
     rows = _without_copies(rows)
@@ -237,13 +237,12 @@ def fit(rows: list[tuple[str, int]], max_terms: int = 400, min_docs: int = 4, wi
     # surely toxic: the rate in toxic documents, smoothed, is 20 times the rate in others
     rate = {s: ((toxic[s] + 0.1) / (n_toxic + 1), (clean[s] + 0.5) / (n_clean + 1)) for s in wanted}
     good = [s for s in wanted if rate[s][0] > 20 * rate[s][1] and (toxic[s] >= 8 or clean[s] == 0)]
-    # cover the toxic documents: most new documents first; of stems with the same documents the longest
+    # cover the toxic documents: most new documents first; of stems with the same documents the longest. Each term needs
+    # min_docs documents that fewer than three terms cover, so there are at most 3 * n_toxic / min_docs of them
     terms: list[tuple[str, bool]] = []
     good.sort(key=lambda s: (-toxic[s], -len(s), s))
     covered: Counter = Counter()
     for s in good:
-        if len(terms) >= max_terms:
-            break
         if any(s.startswith(t) and stem for t, stem in terms):
             continue
         longer = [holders[t] for t, _ in terms if t.startswith(s)]
@@ -289,8 +288,8 @@ def sample(docs: DataFrame, labels: DataFrame, teach, per_class: int, max_chars:
     """(text, toxic) of up to per_class documents of either class, the first by hash of the id."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     ids = docs.where(teach & F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("doc_id").join(marks, "doc_id")
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = [tuple(r) for r in ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_class).select("doc_id", "y").collect()]
+    first = [ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]  # each task sends its first
+    chosen = [tuple(r) for part in first for r in part.collect()]
     label = dict(chosen)
     found = docs.where(teach & F.col("doc_id").isin(list(label)) & (F.length("text") <= max_chars)).select("doc_id", "text").limit(4 * per_class + 4).collect() if label else []
     return sorted((r["text"], int(label[r["doc_id"]])) for r in found if r["text"] is not None)
