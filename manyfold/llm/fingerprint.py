@@ -8,8 +8,8 @@ compared filter by filter: each filter of the shorter chain takes its best partn
 beyond what chance gives, over the most that could be common.
 
 Defined results: in a text whose windows are all of low entropy they count; one of few windows gives the rarest
-quarter of them; one shorter than a window gives its 8-byte windows, or itself as a whole; a null or empty text has the empty
-fingerprint, whose likeness to another empty one is 1 and to any other 0. Texts that are equal have equal
+quarter of them; one without features (shorter than a window, or alike throughout, so that each run has another first
+of equals) gives its 8-byte windows, or itself as a whole; a null or empty text has the empty fingerprint, whose likeness to another empty one is 1 and to any other 0. Texts that are equal have equal
 fingerprints and likeness 1. Windows never cross texts.
 """
 
@@ -193,7 +193,7 @@ def with_neighbours(docs: DataFrame, rows_per_bucket: int = 8192) -> DataFrame:
     guests = docs.sparkSession.createDataFrame([(before[r["b"]], r["m"]["doc_id"], r["m"]["tie"]) for r in order], "b int, first long, tie long")
     guest_rows = docs.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("first")) & (tie == F.col("tie"))).select("doc_id", "text", "b", "tie").dropDuplicates(["b"])
     rows = placed.withColumn("tie", tie).unionByName(guest_rows.withColumn("guest", F.lit(True)))
-    rows = rows.repartition("b").sortWithinPartitions("b", "guest", "doc_id", "tie").select("b", "guest", "doc_id", "text")
+    rows = rows.repartitionById(len(bounds) + 1, F.col("b")).sortWithinPartitions("b", "guest", "doc_id", "tie").select("b", "guest", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: However large the input: what is known of each bucket may come to the driver.
+#: However large the input: what is known of each bucket may come to the driver. Beyond, buckets grow; those who take
+#: them work through a bucket row by row, so memory doesn't.
 MOST_BUCKETS = 20_000
 
+
 def boundaries(docs: DataFrame, rows_per_bucket: int) -> list[int]:
     """Ascending distinct ids; bucket b holds the ids over b - 1 boundaries. One bound for rows_per_bucket documents,
     fewer where that would make more than MOST_BUCKETS; only the id column is read."""

@@ -10,8 +10,9 @@ documents' ids and lengths, so any document is read without the rest.
     i64 doc ids [n_docs], u64 lengths [n_docs], u8 whether the id is null [n_docs]
     blocks: u32 minimum, u16 n, u8 width, u8 0, u16 n_exceptions, packed ids, u16 places, u32 high bits
 
-Files are written by tasks under another name and renamed when whole, one for each bucket of neighbouring document
-ids, so a task that runs again replaces its file by the same bytes.
+Files are written by tasks under another name and renamed when whole. Each bucket of neighbouring document ids is a
+task of its own and gives a file for every IDS_PER_FILE ids (a longer document is not split), so no task holds more,
+however large a bucket; a task that runs again replaces its files by the same bytes.
 
 Defined results: a null or empty text has no ids but the end id; null doc ids come first and stay null; rows that
 repeat an id follow one another by hash of the text; an empty table writes no file and reads as no rows.
@@ -35,6 +36,7 @@ from pyspark.sql.window import Window
 from .ordered import boundaries, bucket
 
 BLOCK, PERCENT = 1024, 95
+IDS_PER_FILE = 1 << 22
 MAGIC = b"MFT1"
 _HEAD = struct.Struct("<4sIIQ")
 _BLOCK = struct.Struct("<IHBBH")
@@ -231,21 +233,21 @@ def _store(folder: str, name: str, raw: bytes) -> None:
 
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, rows_per_bucket: int = 4096) -> DataFrame:
     """Encode docs (doc_id, text) into files in folder, in ascending order of doc_id. Lazily: the manifest (bucket,
-    name, n_docs, n_ids), to be written by the caller, is what makes the files."""
+    piece, name, n_docs, n_ids), to be written by the caller, is what makes the files."""
     fs_, path = fs.FileSystem.from_uri(folder)
     fs_.create_dir(path, recursive=True)
     bounds = boundaries(docs, rows_per_bucket)
     rows = docs.select(bucket(F.col("doc_id"), bounds).alias("bucket"), "doc_id", "text")
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("text"))
+    rows = rows.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, now, writer = _encoder(tokenizer), None, Writer()
+        encoder, now, piece, writer = _encoder(tokenizer), None, 0, Writer()
 
         def finish() -> Iterator[pa.RecordBatch]:
             if now is not None:
-                name = f"part-{now:06d}.mft"
+                name = f"part-{now:06d}-{piece:06d}.mft"
                 _store(folder, name, writer.finish())
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((now, pa.int32()), (name, pa.string()), (len(writer.docs), pa.int64()), (writer.n, pa.int64()))], names=["bucket", "name", "n_docs", "n_ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((now, pa.int32()), (piece, pa.int32()), (name, pa.string()), (len(writer.docs), pa.int64()), (writer.n, pa.int64()))], names=["bucket", "piece", "name", "n_docs", "n_ids"])
 
         end = np.array([end_id], "<u4")
         for batch in batches:
@@ -254,16 +256,19 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int, rows_per_bu
                 for k, i, e in zip(b, ids, encoder.encode([t or "" for t in texts])):
                     if k != now:
                         yield from finish()
-                        now, writer = k, Writer()
+                        now, piece, writer = k, 0, Writer()
+                    elif writer.n >= IDS_PER_FILE:
+                        yield from finish()
+                        piece, writer = piece + 1, Writer()
                     writer.add(i, np.concatenate([e, end]))
         yield from finish()
 
-    return rows.mapInArrow(run, "bucket int, name string, n_docs long, n_ids long")
+    return rows.mapInArrow(run, "bucket int, piece int, name string, n_docs long, n_ids long")
 
 
 def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files of a manifest."""
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over files, not documents
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("bucket", "piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over files, not documents
     files = manifest.withColumn("before", before)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
