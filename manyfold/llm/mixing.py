@@ -11,7 +11,7 @@ Quotas are computed on the driver from one row per source and one per shard (a s
 source), never from documents.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order;
-null and repeated ids are documents like others (rows alike in id and size may stand for each other). A source
+null and repeated ids are documents like others, told apart by their texts (rows alike in both may stand for each other). A source
 without words has target 0. Input columns with the names of result columns are replaced. Reruns agree.
 """
 
@@ -64,14 +64,18 @@ def sainte_lague(shares: list[float], seats: int) -> list[int]:
     return out
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """For a join: sent to all tasks where it has 200,000 rows at most."""
+    return F.broadcast(table) if rows <= 200_000 else table
+
+
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, cap: float = 2.0, block: int = 32, seed: int = 7, shard_rows: int = 200_000) -> DataFrame:
     """docs with size (words), source_size, target (of the source) and taken (words that the mixture takes, repeats
     counted; at most cap times size). weights repeat over the sources in code-point order, null last."""
     spark = docs.sparkSession
     docs = docs.drop(*RESULTS)
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"))
-    sized, _ = written(sized.withColumn("h", order), "mix-sizes")
+    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text"))  # the text tells rows of one id apart
+    sized, _ = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("h")), "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     per_source.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     sizes = [r["size"] for r in per_source]
@@ -81,7 +85,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share:
     schema = "source string, source_size long, target double, n_shards int"
     sources = spark.createDataFrame([(s, z, g, n) for s, z, g, n in plan], schema)
     key = F.col("d.source").eqNullSafe(F.col("p.source"))
-    sharded = sized.alias("d").join(F.broadcast(sources.alias("p")), key).select("d.*", "source_size", "target", F.pmod(F.xxhash64(F.lit(seed + 1), "d.h"), F.col("n_shards")).cast("int").alias("shard"))
+    sharded = sized.alias("d").join(_small(sources, len(plan)).alias("p"), key).select("d.*", "source_size", "target", F.pmod(F.xxhash64(F.lit(seed + 1), "d.h"), F.col("n_shards")).cast("int").alias("shard"))
     lengths: dict = {}
     for r in sharded.groupBy("source", "shard").agg(F.sum("size").alias("size")).collect():
         lengths.setdefault(r["source"], {})[r["shard"]] = r["size"]
@@ -96,7 +100,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_share:
     line = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sharded.withColumn("end", F.sum("size").over(line))
     key = F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.shard") == F.col("q.shard"))
-    placed = placed.alias("d").join(F.broadcast(table.alias("q")), key).select("d.*", "length", "turns", "rest")
+    placed = placed.alias("d").join(_small(table, len(quotas)).alias("q"), key).select("d.*", "length", "turns", "rest")
     # the rest covers [start, start + rest) of the line, in blocks from a seeded one on, round the end
     n_blocks = F.greatest(F.lit(1), F.ceil(F.col("length") / block))
     start = F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), n_blocks) * block

@@ -118,14 +118,18 @@ def pack_shard(shard: int, rows: list[tuple], capacity: int, source_limit: int)
         yield base + b, place, doc_id, source, cluster, k, k * capacity, rest
 
 
-def packed(docs: DataFrame, capacity: int = 2048, source_limit: int = 2, shard_rows: int = 8192, cluster: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = 2048, source_limit: int | None = None, shard_rows: int = 8192, cluster: str | None = None) -> DataFrame:
     """The rows of OUT for docs (doc_id, source, text): one per piece, and one without bin per document without words.
-    cluster names a column (long) of duplicate clusters; else texts alike but for case and spacing are one."""
-    norm = F.lower(F.regexp_replace(F.trim("text"), r"[\x20\x09-\x0D]+", " "))
+    source_limit: unless given, 8 times the largest source's share of the documents, at least 2, so that bins can be
+    filled where one source has most documents. cluster names a column (long) of duplicate clusters; else texts alike but for case and spacing are one."""
+    norm = F.lower(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
     key = F.col(cluster).cast("long") if cluster else F.xxhash64(norm)
     sized = docs.select("doc_id", "source", key.alias("cluster"), word_count(F.col("text")).alias("n_words"))
-    shards = max(1, -(-docs.count() // shard_rows))
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "doc_id", "n_words"), F.lit(shards)).cast("int"))
+    per = docs.groupBy("source").count().agg(F.sum("count"), F.max("count")).first()
+    total, largest = per[0] or 0, per[1] or 0
+    source_limit = source_limit or max(2, -(-8 * largest // max(1, total)))
+    shards = max(1, -(-total // shard_rows))
+    sized = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "doc_id", "n_words", "cluster"), F.lit(shards)).cast("int"))
     rows = sized.repartition("shard").sortWithinPartitions("shard").select("shard", "doc_id", "source", "cluster", "n_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

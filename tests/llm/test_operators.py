@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import brute
+import compare
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -278,6 +280,25 @@ def test_tokens_by_piece_are_the_library_s():
         assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_tokens_of_whole_texts_and_random_strings_are_the_library_s(spark):
+    e, r = tokens.Encoder(tokenizer_path()), random.Random(11)
+    said = [x["text"] or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    latin = [chr(c) for c in (*range(32, 127), *range(160, 256), 9, 10, 13)]
+    said += ["".join(r.choices(latin if i % 2 else " \n'stmdrevl12²ªµß_-aA", k=r.randint(0, 40))) for i in range(20_000)]
+    for a in range(0, len(said), 2000):
+        part = said[a : a + 2000]
+        for t, ids, want in zip(part, e.encode(part), e.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+            assert ids.tolist() == want.ids, t
+
+
+def test_buckets_give_several_files(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "IDS_PER_FILE", 100)  # for the driver; tasks of a local session fork from another process
+    w = tokens.Writer()
+    for i in range(50):
+        w.add(i, np.arange(7, dtype=np.uint32))
+    assert w.n == 350 and [len(x) for _, _, x in tokens.Reader(w.finish()).documents()] == [7] * 50
+
+
 def test_token_query_edges(spark, edge, none):
     e = tokens.Encoder(tokenizer_path())
     folder = fresh_path(spark, "tok")
@@ -424,6 +445,39 @@ def test_fingerprints_follow_the_definition(spark, monkeypatch):
     assert min(out[i]["near_edited"] for i in range(2, 12)) > 0.3 > max(out[i]["near_next"] for i in range(1, 11))
 
 
+def plain_digest(b: bytes) -> np.ndarray:
+    """The docstring's definition, window by window."""
+    w, m = fingerprint.WINDOW, len(b) - fingerprint.WINDOW + 1
+    rank = [sum(int(fingerprint._G[c]) for c in Counter(b[i : i + w]).values()) for i in range(m)]
+    strong = [x <= fingerprint._WEAK for x in rank]
+    usable = strong if any(strong) else [True] * m
+    keys = [((rank[i] >> 10) if usable[i] else 1 << 30, i) for i in range(m)]
+    if m < fingerprint.RUN + fingerprint.LEAST_WINS:
+        at = sorted(i for _, i in sorted(k for k, u in zip(keys, usable) if u)[: max(1, m // 4)])
+    else:
+        wins = Counter(min(keys[j : j + fingerprint.RUN])[1] for j in range(m - fingerprint.RUN + 1))
+        at = sorted(i for i, n in wins.items() if n >= fingerprint.LEAST_WINS and usable[i])
+    data = np.frombuffer(b, np.uint8)
+    seen: list[int] = []
+    for i in at:
+        h = int(fingerprint.tk.span_hashes(data[i : i + w], np.array([0]), np.array([w]))[0])
+        if h not in seen:
+            seen.append(h)
+    if not seen and b:  # without features: windows of 8 bytes
+        seen = list(dict.fromkeys(int(fingerprint.tk.span_hashes(data, np.array([i]), np.array([i + 8]))[0]) for i in range(len(b) - 7)))
+    chain = np.zeros((-(-len(seen) // fingerprint.PER_FILTER), fingerprint.BITS), bool)
+    for k, h in enumerate(seen):
+        for j in range(fingerprint.HASHES):
+            chain[k // fingerprint.PER_FILTER, (h >> (12 * j)) % fingerprint.BITS] = True
+    return np.packbits(chain, axis=1)
+
+
+def test_digests_agree_with_plain_windows():
+    texts = [text(n, n).encode() for n in (8, 12, 20, 60, 300, 900)] + [b"x" * 300, ("é漢" * 80).encode(), (text(90, 4) + "-" * 200 + text(50, 5)).encode()]
+    for got, b in zip(fingerprint.digests(texts), texts):
+        assert got.tolist() == plain_digest(b).tolist()
+
+
 def test_entropy_sums_by_hand():
     data = np.random.default_rng(2).integers(97, 103, 200).astype(np.uint8)
     sums = fingerprint._entropy_sums(data)
@@ -468,12 +522,21 @@ def test_mixture(spark, edge, none):
     assert all(r["taken"] == 0 for r in mixing.mixed(edge).collect() if r["doc_id"] in (1, 2, 4))
 
 
+def test_many_null_ids_are_told_apart(spark):
+    rows = [(None, text(20 + i % 50, i), "en", "hot", 1, "x", 0.0) for i in range(300)] + [(i, text(30, i), "en", "b", 1, "x", 0.0) for i in range(50)]
+    df = spark.createDataFrame(rows, DOCS)
+    out = mixing.mixed(df, shard_rows=60, block=8).collect()
+    hot = [r for r in out if r["source"] == "hot"]
+    assert len(out) == 350 and sum(r["taken"] for r in hot) == pytest.approx(hot[0]["target"], abs=60)
+    assert len({r["bin_id"] >> 32 for r in packing.packed(df, shard_rows=60).collect()}) >= 4
+
+
 # -- 9 packing
 
 
 def test_packing_keeps_every_rule(spark, edge, none):
     rows = [(i, text(1 + i % 90, 5 if i % 5 == 0 and i % 90 == 10 else i), "en", "hot" if i % 3 else f"s{i % 7}", 1, "x", 0.0) for i in range(600)]
-    out = packing.packed(spark.createDataFrame(rows, DOCS), capacity=64, shard_rows=200).collect()
+    out = packing.packed(spark.createDataFrame(rows, DOCS), capacity=64, source_limit=2, shard_rows=200).collect()
     bins: dict = {}
     for r in out:
         bins.setdefault(r["bin_id"], []).append(r)
@@ -489,6 +552,14 @@ def test_packing_keeps_every_rule(spark, edge, none):
     assert packing.packed(none).count() == 0
 
 
+def test_one_source_still_fills_bins(spark):
+    rows = [(i, text(100 + 13 * i % 500, i), "en", None, 1, "x", 0.0) for i in range(300)]
+    out = packing.packed(spark.createDataFrame(rows, DOCS)).collect()
+    assert sum(r["n_words"] for r in out) >= 0.9 * 2048 * len({r["bin_id"] for r in out})
+    said = packing.packed(spark.createDataFrame([(1, "\tfoo bar", "en", "a", 1, "x", 0.0), (2, "Foo  bar\n", "en", "a", 1, "x", 0.0)], DOCS)).collect()
+    assert said[0]["cluster"] == said[1]["cluster"] and said[0]["bin_id"] != said[1]["bin_id"]
+
+
 def test_best_fit_is_the_tightest_compatible_bin():
     rows = [(i, f"s{R.randrange(5)}", R.randrange(40), R.randint(1, 30)) for i in range(300)]
     got = list(packing.pack_shard(0, rows, 32, 2))
@@ -583,3 +654,8 @@ def test_language_is_not_an_input(spark, documents):
     a = langid.predict(documents.select("doc_id", "text"), model)
     b = langid.predict(documents.select("doc_id", "text", F.lit("zz").alias("lang")), model).select("doc_id", "text", "lang_pred", "score")
     assert a.exceptAll(b).isEmpty()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_agrees_with_sql(spark, name):
+    assert compare.differences(queries.queries()[name](spark, DIR), compare.duck(DIR), queries.oracle_sql()[name]) is None
