@@ -37,45 +37,98 @@ from .ordered import boundaries, bucket
 
 BLOCK, PERCENT = 1024, 95
 IDS_PER_FILE = 1 << 22
+#: Blocks that are encoded or decoded together.
+AT_ONCE = 64
 MAGIC = b"MFT1"
+U64 = np.uint64
 _HEAD = struct.Struct("<4sIIQ")
 _BLOCK = struct.Struct("<IHBBH")
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
+    """Values of width bits on end, the lowest bit first."""
     if not width:
         return b""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    if width > 16:
+        bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & 1
+        return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    eights = np.zeros((-(-len(values) // 8), 8), np.uint64)  # eight values are width bytes
+    eights.ravel()[: len(values)] = values
+    eights <<= np.arange(8, dtype=np.uint64) % U64(4) * U64(width)
+    lo, hi = np.bitwise_or.reduce(eights[:, :4], axis=1), np.bitwise_or.reduce(eights[:, 4:], axis=1)
+    words = np.stack([lo | (hi << U64(4 * width)), hi >> U64(64 - 4 * width)] if width < 16 else [lo, hi], axis=1)
+    return words.view(np.uint8)[:, :width].tobytes()[: -(-len(values) * width // 8)]
 
 
 def _unpack(raw: bytes, n: int, width: int) -> np.ndarray:
     if not width:
         return np.zeros(n, np.uint32)
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=n * width).reshape(n, width)
-    return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(1, dtype=np.uint32)
+    if width > 16:
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=n * width).reshape(n, width)
+        return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(1, dtype=np.uint32)
+    eights = -(-n // 8)
+    words = np.zeros((eights, 16), np.uint8)
+    words[:, :width] = np.frombuffer(raw.ljust(eights * width, b"\0"), np.uint8).reshape(eights, width)
+    low, high = words.view(np.uint64).T
+    hi = (low >> U64(4 * width)) | (high << U64(64 - 4 * width)) if width < 16 else high
+    four = np.stack([low, hi], axis=1)[:, :, None] >> (np.arange(4, dtype=np.uint64) * U64(width))
+    return (four.ravel()[:n] & U64((1 << width) - 1)).astype(np.uint32)
+
+
+def encode_blocks(ids: np.ndarray) -> list[bytes]:
+    """Rows of 1 to BLOCK ids below 2**32 each, as many in all of them; blocks of one width are packed together."""
+    m, n = ids.shape
+    low = ids.min(1)
+    rest = ids - low[:, None]
+    at = max(0, -(-n * PERCENT // 100) - 1)
+    widths = np.frexp(np.partition(rest, at, axis=1)[:, at].astype(np.float64))[1]  # bit lengths
+    high = (rest.astype(U64) >> widths.astype(U64)[:, None]).astype("<u4")
+    block, place = np.nonzero(high)
+    cut = np.searchsorted(block, np.arange(m + 1)).tolist()
+    places, highs = place.astype("<u2").tobytes(), high[block, place].tobytes()
+    packed: list[bytes] = [b""] * m
+    for w in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == w)
+        if n % 8:
+            for k in own.tolist():
+                packed[k] = _pack(rest[k] & np.uint32((1 << w) - 1), w)
+        else:  # each block ends with a byte
+            raw, size = _pack((rest[own] & np.uint32((1 << w) - 1)).ravel(), w), n * w // 8
+            for i, k in enumerate(own.tolist()):
+                packed[k] = raw[i * size : (i + 1) * size]
+    heads = zip(low.tolist(), widths.tolist(), packed, cut, cut[1:])
+    return [_BLOCK.pack(least, n, w, 0, y - x) + bits + places[2 * x : 2 * y] + highs[4 * x : 4 * y] for least, w, bits, x, y in heads]
 
 
 def encode_block(ids: np.ndarray) -> bytes:
     """One to BLOCK ids below 2**32."""
-    low = int(ids.min())
-    rest = (ids.astype(np.int64) - low).astype(np.uint32)
-    width = int(np.sort(rest)[max(0, -(-len(rest) * PERCENT // 100) - 1)]).bit_length()
-    out = np.flatnonzero(rest.astype(np.uint64) >> np.uint64(width))
-    mask = np.uint32((1 << width) - 1)
-    high = (rest[out].astype(np.uint64) >> np.uint64(width)).astype("<u4")
-    return _BLOCK.pack(low, len(ids), width, 0, len(out)) + _pack(rest & mask, width) + out.astype("<u2").tobytes() + high.tobytes()
+    return encode_blocks(ids[None, :])[0]
+
+
+def decode_blocks(raw: bytes, starts: list[int]) -> list[np.ndarray]:
+    """The ids of each block that begins at one of starts; blocks of one width and size are unpacked together."""
+    heads = [_BLOCK.unpack_from(raw, at) for at in starts]
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, (_, n, width, _, _) in enumerate(heads):
+        alike.setdefault((n, width), []).append(k)
+    out: list = [None] * len(starts)
+    for (n, width), own in alike.items():
+        size = -(-n * width // 8)
+        parts = [raw[starts[k] + _BLOCK.size : starts[k] + _BLOCK.size + size] for k in own]
+        flat = _unpack(b"".join(parts), n * len(own), width) if not n % 8 else np.concatenate([_unpack(x, n, width) for x in parts])
+        values = flat.reshape(len(own), n)
+        for i, k in enumerate(own):
+            exceptions = heads[k][4]
+            if exceptions:
+                at = starts[k] + _BLOCK.size + size
+                values[i, np.frombuffer(raw, "<u2", exceptions, at)] += (np.frombuffer(raw, "<u4", exceptions, at + 2 * exceptions).astype(U64) << U64(width)).astype(np.uint32)
+            out[k] = values[i]
+        values += np.array([heads[k][0] for k in own], np.uint32)[:, None]
+    return out
 
 
 def decode_block(raw: bytes) -> np.ndarray:
-    low, n, width, _, exceptions = _BLOCK.unpack_from(raw)
-    at = _BLOCK.size
-    packed = -(-n * width // 8)
-    values = _unpack(raw[at : at + packed], n, width).astype(np.int64)
-    at += packed
-    where = np.frombuffer(raw, "<u2", exceptions, at)
-    values[where] += np.frombuffer(raw, "<u4", exceptions, at + 2 * exceptions).astype(np.int64) << width
-    return (values + low).astype(np.uint32)
+    return decode_blocks(raw, [0])[0]
 
 
 class Writer:
@@ -84,22 +137,29 @@ class Writer:
     def __init__(self) -> None:
         self.blocks: list[bytes] = []
         self.docs: list[tuple[int | None, int]] = []
-        self.left = np.zeros(0, np.uint32)
-        self.n = 0
+        self.left: list[np.ndarray] = []
+        self.n_left = self.n = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((doc_id, len(ids)))
         self.n += len(ids)
-        self.left = np.concatenate([self.left, ids])
-        whole = len(self.left) // BLOCK * BLOCK
-        for a in range(0, whole, BLOCK):
-            self.blocks.append(encode_block(self.left[a : a + BLOCK]))
-        self.left = self.left[whole:]
+        self.n_left += len(ids)
+        self.left.append(ids)
+        if self.n_left >= AT_ONCE * BLOCK:
+            self._encode()
+
+    def _encode(self) -> None:
+        ids = np.concatenate(self.left).astype(np.uint32, copy=False) if self.left else np.zeros(0, np.uint32)
+        whole = len(ids) // BLOCK * BLOCK
+        for a in range(0, whole, AT_ONCE * BLOCK):
+            self.blocks += encode_blocks(ids[a : min(whole, a + AT_ONCE * BLOCK)].reshape(-1, BLOCK))
+        self.left, self.n_left = [ids[whole:]], len(ids) - whole
 
     def finish(self) -> bytes:
-        if len(self.left):
-            self.blocks.append(encode_block(self.left))
-            self.left = self.left[:0]
+        self._encode()
+        if self.n_left:
+            self.blocks.append(encode_block(self.left[0]))
+            self.left, self.n_left = [], 0
         starts = np.zeros(len(self.blocks) + 1, "<u8")
         np.cumsum([len(b) for b in self.blocks], out=starts[1:])
         ids = np.array([0 if i is None else i for i, _ in self.docs], "<i8")
@@ -125,27 +185,28 @@ class Reader:
         self.doc_ids = [None if x else int(i) for i, x in zip(ids, nulls)]
         self.body, self.raw = at + 17 * docs, raw
 
-    def block(self, k: int) -> np.ndarray:
-        return decode_block(self.raw[self.body + self.starts[k] : self.body + self.starts[k + 1]])
+    def blocks(self, a: int, b: int) -> list[np.ndarray]:
+        return decode_blocks(self.raw, (self.body + self.starts[a:b]).tolist())
 
     def ids(self, a: int, b: int) -> np.ndarray:
         if b <= a:
             return np.zeros(0, np.uint32)
         first = a // BLOCK
-        return np.concatenate([self.block(k) for k in range(first, -(-b // BLOCK))])[a - first * BLOCK : b - first * BLOCK]
+        return np.concatenate(self.blocks(first, -(-b // BLOCK)))[a - first * BLOCK : b - first * BLOCK]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """(doc_id, ids before it in the file, its ids), in order, a few blocks in memory at a time."""
-        have, next_block, at = np.zeros(0, np.uint32), 0, 0
+        """(doc_id, ids before it in the file, its ids), in order, AT_ONCE blocks and a document in memory at a time."""
+        have, next_block, used, at = np.zeros(0, np.uint32), 0, 0, 0
         for doc_id, n in zip(self.doc_ids, self.lengths.tolist()):
-            parts, size = [have], len(have)
-            while size < n:
-                parts.append(self.block(next_block))
-                size += len(parts[-1])
-                next_block += 1
-            have = np.concatenate(parts)
-            yield doc_id, at, have[:n]
-            have, at = have[n:], at + n
+            if len(have) - used < n:
+                parts, size = [have[used:]], len(have) - used
+                while size < n:
+                    parts += self.blocks(next_block, min(next_block + AT_ONCE, len(self.starts) - 1))
+                    next_block += AT_ONCE
+                    size = sum(map(len, parts))
+                have, used = np.concatenate(parts), 0
+            yield doc_id, at, have[used : used + n]
+            used, at = used + n, at + n
 
 
 class Encoder:

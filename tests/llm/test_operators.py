@@ -255,6 +255,17 @@ def test_block_round_trip(ids):
     assert tokens.decode_block(tokens.encode_block(a)).tolist() == ids
 
 
+@pytest.mark.parametrize("width", range(1, 33))
+def test_packed_bits_lie_on_end(width):
+    r = np.random.default_rng(width)
+    for n in (1, 7, 8, 9, 1000, 1024):
+        v = r.integers(0, 1 << width, n).astype(np.uint32)
+        bits = "".join(format(x, f"0{width}b")[::-1] for x in v.tolist())
+        raw = tokens._pack(v, width)
+        assert raw == bytes(int(bits[i : i + 8][::-1], 2) for i in range(0, len(bits), 8))
+        assert (tokens._unpack(raw, n, width) == v).all()
+
+
 def test_file_round_trip_and_ranges():
     r, w = np.random.default_rng(1), tokens.Writer()
     docs = [(None if i == 0 else i, r.integers(0, 49_000, r.integers(0, 3000)).astype(np.uint32)) for i in range(20)]
