@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 METRICS = ("l2", "cosine", "ip")
@@ -58,45 +61,194 @@ def one_query(df: DataFrame, query: Sequence[float]) -> DataFrame:
     return df.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, query array<double>")
 
 
-def _pairs(df: DataFrame, vector: str, queries: DataFrame) -> DataFrame:
-    """Every row with every query of its size. Not an equality of sizes: that would send all pairs to one task."""
-    return df.crossJoin(queries).where(F.size(vector) - F.size("query") == 0)
-
-
 def _first(pairs: DataFrame, n: int, *order: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     return pairs.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def _nearest(pairs: DataFrame, vector: str, k: int, key: str) -> DataFrame:
-    return _first(pairs.withColumn("distance", distance(F.col(vector), F.col("query"))), k, "distance", key)
-
-
-def _with_reach(queries: DataFrame, few: DataFrame, vector: str, k: int, key: str) -> DataFrame:
-    """queries with _reach, how far the k-th of a query's candidates lies; null if it has fewer."""
-    reach = _nearest(few, vector, k, key).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("_reach"))
-    return queries.join(reach, "query_id", "left")
-
-
-def _within(bound: Column, slack: Column) -> Column:
-    """Whether a row that is at least bound away may be among the nearest; slack covers rounding."""
-    return F.coalesce(bound <= F.col("_reach") + slack, F.lit(True))
+# Searches for many queries. Rows and queries travel in blocks, once each through a shuffle; a task meets some blocks of
+# queries with some or all blocks of rows, and keeps k rows a query. Only its time grows with rows times queries.
+
+#: Components in a block of rows, and of queries: 2,048 and 1,024 rows of 64. Rows that are sorted before they are cut.
+ROWS, QUERIES, SORTED = 1 << 17, 1 << 16, 1 << 15
+#: Pairs that are measured at a time.
+PAIRS = 1 << 18
+
+#: What a method says of a block: pieces (queries, rows, estimate, may), each with indices of queries, a slice of rows, an
+#: estimate to be ranked among one query's, and may(reach): which pairs can't be ruled out beyond each query's reach.
+Piece = tuple[np.ndarray, slice, np.ndarray, Callable[[np.ndarray], np.ndarray]]
+Method = Callable[["_Queries", np.ndarray, pa.StructArray], Iterator[Piece]]
+
+
+def _matrix(rows: pa.StructArray, vector: str) -> np.ndarray:
+    """Vectors of one size; a null component is NaN, so that its row comes last."""
+    return np.asarray(rows.field(vector).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
+
+
+def _blocks(df: DataFrame, vector: str, most: int, by: str | None = None) -> DataFrame:
+    """df's rows as arrays (column by vector's name) of up to most components, of one size of vector each, and sorted by `by`; without null vectors."""
+    kind = T.StructType([T.StructField(f"_{vector}", T.ArrayType(df.schema))])
+
+    def cut(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        sizes = np.array(pa.compute.list_value_length(rows[vector]).to_numpy())
+        order = np.lexsort((rows[by].to_numpy(), sizes)) if by else np.argsort(sizes, kind="stable")
+        struct, sizes = rows.take(pa.array(order)).to_struct_array().combine_chunks(), sizes[order]
+        for size in np.unique(sizes):
+            at, end, step = int(np.searchsorted(sizes, size)), int(np.searchsorted(sizes, size, "right")), max(1, most // max(1, int(size)))
+            for i in range(at, end, step):
+                part = pa.concat_arrays([struct.slice(i, min(step, end - i))])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)], [f"_{vector}"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= SORTED or sum(x.nbytes for x in held) >= 1 << 26:
+                yield from cut(pa.Table.from_batches(held))
+                held = []
+        if any(map(len, held)):
+            yield from cut(pa.Table.from_batches(held))
+
+    return df.where(F.col(vector).isNotNull()).mapInArrow(pack, kind)
+
+
+def _ranks(keys: pa.Array) -> np.ndarray:
+    """Numbers in the keys' order, nulls first."""
+    if pa.types.is_integer(keys.type) and not keys.null_count:
+        return keys.to_numpy()
+    values = keys.to_pylist()
+    order = {v: i for i, v in enumerate(sorted(set(values), key=lambda v: (v is not None, v if v is not None else 0)))}
+    return np.array([order[v] for v in values], np.int64)
+
+
+class _Least:
+    """The n least values of each query with what belongs to them, ties by key."""
+
+    def __init__(self, queries: int, n: int, key: str | None = None) -> None:
+        self.n, self.key, self.at, self.value, self.rows = n, key, np.empty(0, np.int64), np.empty(0), None
+        self.limit = np.full(queries, np.inf)
+
+    def offer(self, at: np.ndarray, value: np.ndarray, rows: pa.StructArray | None = None) -> None:
+        if not len(at):
+            return
+        at, value = np.concatenate([self.at, at]), np.concatenate([self.value, value])
+        if rows is not None and self.rows is not None:
+            rows = pa.concat_arrays([self.rows, rows])
+        order = np.lexsort((value, at) if rows is None else (_ranks(rows.field(self.key)), value, at))
+        at = at[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        order, last = order[rank < self.n], order[rank == self.n - 1]
+        self.limit[at[rank == self.n - 1]] = value[last]
+        self.at, self.value = at[rank < self.n], value[order]
+        self.rows = None if rows is None else rows.take(pa.array(order))
+
+
+class _Queries:
+    """A block of queries, and what has been found for them."""
+
+    def __init__(self, block: pa.StructArray, k: int, oversample: int, key: str) -> None:
+        self.ids, self.q = block.field("query_id"), _matrix(block, "query")
+        self.q2, self.few, self.best = (self.q**2).sum(1), _Least(len(block), max(1, oversample) * k, None), _Least(len(block), k, key)
+        self.kept: dict[str, np.ndarray] = {}
+
+    def measure(self, x: np.ndarray, rows: pa.StructArray, at: np.ndarray, row: np.ndarray) -> None:
+        """Offers pairs, their distances summed in the order in which distance() does."""
+        xt, qt = np.ascontiguousarray(x.T), np.ascontiguousarray(self.q.T)
+        for i in range(0, len(at), PAIRS):
+            a, r = at[i : i + PAIRS], row[i : i + PAIRS]
+            total = np.zeros(len(a))
+            for xs, qs in zip(xt, qt):
+                apart = xs[r] - qs[a]
+                total += apart * apart
+            d = np.sqrt(total)
+            near = ~(d > self.best.limit[a])
+            self.best.offer(a[near], d[near], rows.take(pa.array(r[near])))
+
+    def search(self, rows: pa.StructArray, vector: str, method: Method) -> None:
+        """Measures the rows that are best by estimate so far, then all that may lie as near as the k-th found."""
+        x = _matrix(rows, vector)
+        if x.shape[1] != self.q.shape[1]:
+            return
+        for at, part, estimate, may in method(self, x, rows):
+            y, mine = x[part], rows.slice(part.start, part.stop - part.start)
+            few = estimate < self.few.limit[at][:, None]
+            n = self.few.n
+            if n < few.shape[1] and few.sum() > 8 * n * len(at):
+                some = np.zeros_like(few)
+                np.put_along_axis(some, np.argpartition(estimate, n - 1, axis=1)[:, :n], True, axis=1)
+                few &= some
+            a, r = np.nonzero(few)
+            self.few.offer(at[a], estimate[a, r])
+            self.measure(y, mine, at[a], r)
+            reach = self.best.limit[at]
+            apart = (-2 * self.q[at]) @ y.T  # and the squares of both, with a slack for rounding
+            apart += (1 - 1e-9) * (y**2).sum(1)
+            near = ~(apart > (reach**2 - (1 - 1e-9) * self.q2[at])[:, None])
+            near &= may(reach)
+            near &= ~few
+            a, r = np.nonzero(near)
+            self.measure(y, mine, at[a], r)
+
+
+def _search(df: DataFrame, vector: str, queries: DataFrame, k: int, key: str, oversample: int, method: Method, by: str | None = None) -> DataFrame:
+    """For each query (query_id, each once, and query) the k nearest rows of its size by L2, ties by key, with query_id and
+    `distance`: exact, as the method may only rule out what can't be among them."""
+    spark, queries = df.sparkSession, queries.select("query_id", "query").where(F.col("query").isNotNull())
+    if k <= 0:
+        return df.crossJoin(queries.select("query_id").limit(0)).withColumn("distance", F.lit(0.0))
+    size, n = queries.agg(F.max(F.size("query")), F.count(F.lit(1))).first()
+    asked = -(-n // max(1, QUERIES // max(1, size or 0)))
+    if asked > 1:
+        tasks = -(-3 * spark.sparkContext.defaultParallelism // asked)
+        few = _blocks(queries.repartition(asked), "query", QUERIES).repartition(asked)
+        pairs = _blocks(df, vector, ROWS, by).repartition(tasks).hint("shuffle_replicate_nl").crossJoin(few)
+    else:
+        pairs = _blocks(df, vector, ROWS, by).crossJoin(F.broadcast(_blocks(queries.coalesce(1), "query", QUERIES)))
+    kind = T.StructType([*df.schema, queries.schema["query_id"], T.StructField("distance", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, _Queries] = {}
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                blocks, asks = batch.column(0), batch.column(1)
+                for i in range(len(batch)):
+                    ask = asks.slice(i, 1).flatten()
+                    it = (len(ask), ask.field("query_id")[0].as_py())
+                    if it not in found:
+                        found[it] = _Queries(ask, k, oversample, key)
+                    found[it].search(blocks.slice(i, 1).flatten(), vector, method)
+        for x in found.values():
+            for i in range(0, len(x.best.at), 1000):
+                rows = x.best.rows.slice(i, 1000)
+                yield pa.RecordBatch.from_arrays([*rows.flatten(), x.ids.take(pa.array(x.best.at[i : i + 1000])), pa.array(x.best.value[i : i + 1000])], kind.names)
+
+    return _first(pairs.mapInArrow(run, kind), k, "distance", key)
 
 
 def knn_quantized_many(df: DataFrame, vector: str, queries: DataFrame, k: int, key: str, oversample: int = 4) -> DataFrame:
     """The k rows nearest by L2 to each of queries (query_id, each once, and query), with query_id and `distance`; exact.
     An estimate from signs and norm keeps oversample * k rows; the k-th of these then is a bound, and rows that by signs
     and norm may lie within it are measured."""
-    df, queries = df.withColumn("_norm", norm(F.col(vector))), queries.select("query_id", "query", dot(F.col("query"), F.col("query")).alias("_q2"))
-    signs = F.aggregate(F.zip_with(F.col(vector), F.col("query"), lambda x, q: F.when(x >= 0, q).otherwise(-q)), F.lit(0.0), lambda s, x: s + x)
-    c, q2 = F.col("_norm"), F.col("_q2")
-    estimate = F.greatest(F.lit(0.0), q2 + c * c - 2 * c * F.sqrt(2 / (math.pi * F.greatest(F.lit(1), F.size("query")))) * signs)
-    few = _first(_pairs(df, vector, queries).withColumn("_estimate", estimate), oversample * k, "_estimate", key)
-    # a product with the query is most where the vector lies along those of the query's components that have its signs
-    agree = F.aggregate(F.zip_with(F.col(vector), F.col("query"), lambda x, q: F.when((x >= 0) == (q >= 0), q * q).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
-    bound = F.sqrt(F.greatest(F.lit(0.0), q2 + c * c - 2 * c * F.sqrt(agree)))
-    rest = _pairs(df, vector, _with_reach(queries, few, vector, k, key)).where(_within(bound, 1e-6 * (c + F.sqrt(q2))))
-    return _nearest(rest, vector, k, key).drop("query", "_norm", "_q2", "_reach")
+
+    def method(ask: _Queries, x: np.ndarray, rows: pa.StructArray) -> Iterator[Piece]:
+        q, q2, c = ask.q, ask.q2, np.sqrt((x**2).sum(1))
+        signs = np.where(x >= 0, 1.0, -1.0)
+        estimate = q @ (signs * (-2 * c * math.sqrt(2 / (math.pi * max(1, x.shape[1]))))[:, None]).T
+        estimate += c * c
+
+        def may(reach: np.ndarray) -> np.ndarray:
+            # a product with the query is most where the vector lies along those of the query's components that have its signs
+            agree = np.where(q >= 0, q * q, -q * q) @ (signs > 0).astype(np.float64).T
+            agree += np.where(q >= 0, 0.0, q * q).sum(1)[:, None]
+            least = np.sqrt(np.maximum(agree, 0, out=agree), out=agree)
+            least *= -2 * c
+            least += c * c
+            return ~(least > ((reach + 1e-6 * (c.max() + np.sqrt(q2))) ** 2 - q2)[:, None])
+
+        yield np.arange(len(q)), slice(0, len(x)), estimate, may
+
+    return _search(df, vector, queries, k, key, oversample, method)
 
 
 def knn_quantized(df: DataFrame, vector: str, query: Sequence[float], k: int, key: str, oversample: int = 4) -> DataFrame:
@@ -138,19 +290,30 @@ class Ivf:
         """For each of queries (query_id, each once, and query) the k nearest rows by L2, with query_id and `distance`."""
         centroids = self.centroids
 
-        @F.pandas_udf("array<double>")
-        def far(q: pd.Series) -> pd.Series:
-            return q.map(lambda x: np.sqrt(((centroids - np.asarray(x)) ** 2).sum(1)))
-
-        def by_list(queries: DataFrame) -> DataFrame:
-            return queries.select("*", F.posexplode(far(F.col("query"))).alias(to, "_apart"))
-
-        queries = queries.select("query_id", "query").where(F.size("query") == centroids.shape[1])
-        few = assigned.join(_first(by_list(queries), probes, "_apart", to), to)
-        rest = assigned.join(by_list(_with_reach(queries, few, vector, k, key)), to)
-        own = F.col(f"{to}_far")
-        rest = rest.where(_within(F.abs(own - F.col("_apart")), 1e-9 * (own + F.col("_apart"))))
-        return _nearest(rest, vector, k, key).drop("query", "_apart", "_reach", f"{to}_far")
+        def method(ask: _Queries, x: np.ndarray, rows: pa.StructArray) -> Iterator[Piece]:
+            if "apart" not in ask.kept:
+                far = np.sqrt(((ask.q[:, None, :] - centroids[None]) ** 2).sum(2)) if len(centroids) * ask.q.size <= 1 << 24 else np.array([np.sqrt(((centroids - q) ** 2).sum(1)) for q in ask.q])
+                ask.kept["apart"], ask.kept["probed"] = far, np.zeros(far.shape, bool)
+                np.put_along_axis(ask.kept["probed"], np.argsort(far, axis=1, kind="stable")[:, :probes], True, axis=1)
+            lists, own = np.asarray(rows.field(to)), np.asarray(rows.field(f"{to}_far"))
+            ends = [0, *(np.flatnonzero(np.diff(lists)) + 1), len(lists)]
+            for start, stop in zip(ends, ends[1:]):
+                mine, apart, probed = own[start:stop], ask.kept["apart"][:, lists[start]], ask.kept["probed"][:, lists[start]]
+                slack = 1e-9 * (mine.max() + apart)
+                at = np.flatnonzero(probed | ~((mine.min() - apart > ask.best.limit + slack) | (apart - mine.max() > ask.best.limit + slack)))
+                if not len(at):
+                    continue
+                estimate = (-2 * ask.q[at]) @ x[start:stop].T
+                estimate += (x[start:stop] ** 2).sum(1)
+                estimate[~probed[at]] = np.inf
+
+                def may(reach: np.ndarray, mine: np.ndarray = mine, apart: np.ndarray = apart[at], slack: np.ndarray = slack[at], probed: np.ndarray = probed[at]) -> np.ndarray:
+                    return probed[:, None] | ~(np.abs(mine - apart[:, None]) > (reach + slack)[:, None])
+
+                yield at, slice(int(start), int(stop)), estimate, may
+
+        queries = queries.where(F.size("query") == centroids.shape[1])
+        return _search(assigned, vector, queries, k, key, 1, method, to).drop(f"{to}_far")
 
     def search(self, assigned: DataFrame, vector: str, query: Sequence[float], k: int, probes: int, key: str, to: str = "list_id") -> DataFrame:
         return self.search_many(assigned, vector, one_query(assigned, query), k, probes, key, to).drop("query_id").orderBy("distance", key)
@@ -194,16 +357,25 @@ class ProductQuantizer:
         """For each of queries (query_id, each once, and query) the k nearest rows by L2, with query_id and `distance`."""
         books = self.codebooks
 
-        @F.pandas_udf("array<array<double>>")
-        def tables(q: pd.Series) -> pd.Series:
-            return q.map(lambda x: list(((books - np.asarray(x, np.float64).reshape(len(books), 1, -1)) ** 2).sum(2)))
-
-        queries = queries.select("query_id", "query").where(F.size("query") == books.shape[0] * books.shape[2]).withColumn("_table", tables(F.col("query")))
-        adc = F.aggregate(F.zip_with(F.col("_table"), F.col(to), lambda row, c: F.get(row, c)), F.lit(0.0), lambda s, x: s + x)
-        few = _first(_pairs(encoded, vector, queries).withColumn("_adc", adc), oversample * k, "_adc", key)
-        error = F.col(f"{to}_error")
-        rest = _pairs(encoded, vector, _with_reach(queries, few, vector, k, key)).where(_within(F.sqrt(adc) - error, 1e-9 * (F.sqrt(adc) + error)))
-        return _nearest(rest, vector, k, key).drop("query", "_table", "_reach", f"{to}_error")
+        def method(ask: _Queries, x: np.ndarray, rows: pa.StructArray) -> Iterator[Piece]:
+            q, q2 = ask.q, ask.q2
+            codes, error = np.asarray(rows.field(to).flatten()).reshape(len(rows), len(books)), np.asarray(rows.field(f"{to}_error"))
+            # the tables' sums, as one product with what the codes stand for
+            said = books[np.arange(len(books)), codes].reshape(len(rows), -1)
+            far = (said**2).sum(1)
+            estimate = (-2 * q) @ said.T
+            estimate += far
+
+            def may(reach: np.ndarray) -> np.ndarray:
+                r = reach + 1e-6 * (np.sqrt(far.max()) + np.sqrt(q2))
+                least = np.hstack([-2 * q, -2 * r[:, None]]) @ np.hstack([said, error[:, None]]).T  # sqrt(sum) <= r + error, squared
+                least += far - error**2
+                return ~(least > (r**2 - q2)[:, None])
+
+            yield np.arange(len(q)), slice(0, len(x)), estimate, may
+
+        queries = queries.where(F.size("query") == books.shape[0] * books.shape[2])
+        return _search(encoded, vector, queries, k, key, oversample, method).drop(f"{to}_error")
 
     def search(self, encoded: DataFrame, vector: str, query: Sequence[float], k: int, key: str, oversample: int = 8, to: str = "pq") -> DataFrame:
         return self.search_many(encoded, vector, one_query(encoded, query), k, key, oversample, to).drop("query_id").orderBy("distance", key)

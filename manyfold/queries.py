@@ -239,20 +239,20 @@ def asked(e: DataFrame) -> DataFrame:
 
 @made("knn_quantized")
 def knn_quantized(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "embeddings")
+    e = load(spark, d, "embeddings").select("vec_id", "embedding")
     return vector.knn_quantized_many(e, "embedding", asked(e), 10, "vec_id").select("query_id", "vec_id", "distance")
 
 
 @made("knn_ivf")
 def knn_ivf(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "embeddings")
+    e = load(spark, d, "embeddings").select("vec_id", "embedding")
     index = vector.Ivf.fit(e, "embedding", 16)
     return index.search_many(index.assign(e, "embedding"), "embedding", asked(e), 10, 8, "vec_id").select("query_id", "vec_id", "list_id", "distance")
 
 
 @made("knn_pq")
 def knn_pq(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "embeddings")
+    e = load(spark, d, "embeddings").select("vec_id", "embedding")
     pq = vector.ProductQuantizer.fit(e, "embedding", 16)
     return pq.search_many(pq.encode(e, "embedding"), "embedding", asked(e), 10, "vec_id").select("query_id", "vec_id", "distance")
 

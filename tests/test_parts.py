@@ -113,6 +113,37 @@ def test_index_measures_all_where_few_are_near(spark):
     assert [r["id"] for r in index.search(index.assign(df, "e"), "e", [2.4, 0.0], 4, 1, "id").collect()] == [2, 3, 1, 4]
 
 
+@pytest.mark.parametrize("method", ["ivf", "pq", "quantized"])
+def test_search_in_blocks(spark, monkeypatch, method):
+    """Many blocks, sizes that differ, keys that are text, copies, ties, a null component: as by brute force; and pairs of rows are no rows of the plan."""
+    monkeypatch.setattr(vector, "ROWS", 64)
+    monkeypatch.setattr(vector, "QUERIES", 32)
+    monkeypatch.setattr(vector, "SORTED", 50)
+    r = random.Random(5)
+    rows = [(f"k{i:03}", [float(r.randint(-2, 2)) for _ in range(4)], i) for i in range(150)] + [(f"c{i}", [1.0, 1.0, 1.0, 1.0], i) for i in range(30)] + [("n", [1.0, None, 1.0, 1.0], 0)]
+    rest = [("short", [1.0], 0), ("none", None, 0)]
+    asks = [(i, [float(r.randint(-2, 2)) for _ in range(4)]) for i in range(40)] + [(98, [1.0, 1.0, 1.0, 1.0])]
+    df, small = (spark.createDataFrame(x, "id string, e array<float>, n int") for x in (rows + rest, rows[:180]))
+    queries = spark.createDataFrame([*asks, (99, None)], "query_id long, query array<double>")
+    if method == "ivf":
+        index = vector.Ivf.fit(small, "e", 3)
+        out = index.search_many(index.assign(df.where("id != 'n'"), "e"), "e", queries, 7, 1, "id")
+    elif method == "pq":
+        pq = vector.ProductQuantizer.fit(small, "e", 2, 4)
+        out = pq.search_many(pq.encode(small, "e"), "e", queries, 7, "id", 1)
+    else:
+        out = vector.knn_quantized_many(df, "e", queries, 7, "id", 1)
+    assert {"id", "e", "n", "query_id", "distance"} <= set(out.columns)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("MapInArrow") < plan.index("Join Cross")
+    got = {}
+    for x in out.collect():
+        got.setdefault(x["query_id"], []).append((x["distance"], x["id"]))
+    assert len(got) == len(asks)
+    for i, q in asks:
+        assert sorted(got[i]) == sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(e, q))), k) for k, e, _ in rows[:180])[:7]
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 2), (5, 6), (6, 5), (7, 7)], "src long, dst long")
     assert {r["node"]: r["component"] for r in graph.connected_components(edges).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 7}
