@@ -12,17 +12,32 @@ from pyspark.sql import functions as F
 
 from ..storage import settled
 
+#: Edges that a task holds, on average, where edges are told apart or sorted.
+EDGES = 1 << 20
+
+
+def _whole(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").where("src is not null and dst is not null")
+
+
+def _tasks(edges: DataFrame) -> int:
+    return max(1, -(-edges.count() // EDGES))
+
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Distinct edges src, dst."""
-    return edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    """Distinct edges src, dst. Tasks by the number of edges: a task's memory stays the same however many there are."""
+    whole = _whole(edges)
+    return whole.repartition(_tasks(whole), "src", "dst").distinct()
 
 
 def neighbors(edges: DataFrame, direction: str = "out") -> DataFrame:
     """src and dst of neighbours: out, in or both (each once)."""
+    if direction == "both":  # told apart once, as pairs; a loop is its own way back
+        pairs = adjacency(_whole(edges).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
+        there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return pairs.select(F.inline(F.when(F.col("src") == F.col("dst"), F.array(there)).otherwise(F.array(there, back))))
     out = adjacency(edges)
-    back = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return {"out": out, "in": back, "both": out.union(back).distinct()}[direction]
+    return {"out": out, "in": out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))}[direction]
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, max_nodes: int | None = None) -> DataFrame:

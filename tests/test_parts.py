@@ -155,6 +155,18 @@ def test_graph(spark):
     assert {r["component"] for r in graph.connected_components(chain).collect()} == {1}
 
 
+_EDGES = [(i % 23, i % 17) for i in range(500)] + [(3, 3), (3, 3), (40, 1), (2, 41)]
+
+
+def test_neighbors_by_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(graph, "EDGES", 50, raising=False)
+    edges = spark.createDataFrame([*_EDGES, (None, 1), (1, None)], "src long, dst long")
+    both = set(_EDGES) | {(b, a) for a, b in _EDGES}
+    for way, want in (("both", both), ("out", set(_EDGES)), ("in", {(b, a) for a, b in _EDGES})):
+        got = graph.neighbors(edges, way)
+        assert sorted(map(tuple, got.collect())) == sorted(want) and got.rdd.getNumPartitions() >= 10
+
+
 def test_graph_queries_over_whole_tables(spark):
     d, run = "/root/testdata/sf0.001", queries.queries()
     rows = {(r[0], -1 - r[1]) for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
