@@ -9,6 +9,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..storage import settled
 
@@ -43,7 +44,7 @@ def neighbors(edges: DataFrame, direction: str = "out") -> DataFrame:
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, max_nodes: int | None = None) -> DataFrame:
     """node and depth of what is reached from the seeds (column node) along out-edges in at most depth steps; with
     max_nodes the first by depth, then node."""
-    adj = settled(adjacency(edges), "adjacency")
+    adj = settled(_whole(edges), "adjacency")  # steps tell nodes apart, so edges may be there twice
     seen = settled(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")
     frontier = seen
     for d in range(1, depth + 1):
@@ -89,32 +90,36 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return alone.join(e.select(F.col("hi").alias("node"), F.col("lo").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, tolerance: float = 0.0) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 20, tolerance: float = 0.0, distinct: bool = False) -> DataFrame:
     """node and rank; what nodes without out-edges hold is shared by all, and ranks sum to 1. It ends after the
-    iterations, or when ranks move by less than tolerance in total."""
+    iterations, or when ranks move by less than tolerance in total. distinct: edges are known to be there once each.
+    Edges are sorted by src once, on the executors' disks; a step moves ranks and sums, and is written."""
     if not 0 < damping < 1:
         raise ValueError("damping lies between 0 and 1")
-    adj = settled(adjacency(edges), "adjacency")
-    nodes = settled(adj.select(F.col("src").alias("node")).union(adj.select("dst")).distinct(), "nodes")
-    n = nodes.count()
-    if not n:
-        return nodes.withColumn("rank", F.lit(0.0))
-    links = settled(adj.join(adj.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "src"), "links")
-    sinks = nodes.join(links.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("sink", F.lit(True))
-    base = settled(nodes.join(sinks, "node", "left"), "base")
-    ranks = base.withColumn("rank", F.lit(1.0 / n))
-    for i in range(iterations):
-        lost = ranks.where("sink").agg(F.sum("rank")).first()[0] or 0.0
-        got = links.join(ranks.select("node", "rank"), F.col("src") == F.col("node")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        new = base.join(got, F.col("node") == F.col("to"), "left").select("node", "sink", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank"))
-        if tolerance or i % 5 == 4:
-            new = settled(new, "ranks")
-        moved = new.join(ranks.select("node", F.col("rank").alias("was")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] if tolerance else None
-        ranks = new
-        if moved is not None and moved < tolerance:
-            break
-    total = ranks.agg(F.sum("rank")).first()[0]
-    return ranks.select("node", (F.col("rank") / total).alias("rank"))
+    adj = settled(_whole(edges) if distinct else adjacency(edges), "adjacency")
+    tasks = _tasks(adj)
+    links = adj.repartition(tasks, "src").sortWithinPartitions("src").persist(StorageLevel.DISK_ONLY)
+    try:
+        out = links.groupBy("src").agg(F.count(F.lit(1)).alias("degree")).select(F.col("src").alias("node"), "degree")
+        base = settled(out.unionByName(links.select(F.col("dst").alias("node"), F.lit(0).cast("long").alias("degree"))).groupBy("node").agg(F.max("degree").alias("degree")), "nodes")
+        n, sinks = base.agg(F.count(F.lit(1)), F.count_if(F.col("degree") == 0)).first()
+        if not n:
+            return base.select("node", F.lit(0.0).alias("rank"))
+        ranks = base.withColumn("rank", F.lit(1.0 / n))
+        for _ in range(iterations):
+            lost = ranks.where("degree = 0").agg(F.sum("rank")).first()[0] if sinks else 0.0
+            shares = ranks.where("degree > 0").select("node", (F.col("rank") / F.col("degree")).alias("got")).repartition(tasks, "node")
+            got = links.join(shares, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "got", F.lit(0).cast("long").alias("degree"))
+            sums = got.unionByName(base.select("node", F.lit(0.0).alias("got"), "degree")).groupBy("node").agg(F.sum("got").alias("got"), F.max("degree").alias("degree"))
+            new = settled(sums.select("node", "degree", ((1 - damping) / n + damping * (F.col("got") + lost / n)).alias("rank")), "ranks")
+            moved = new.join(ranks.select("node", F.col("rank").alias("was")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] if tolerance else None
+            ranks = new
+            if moved is not None and moved < tolerance:
+                break
+        total = ranks.agg(F.sum("rank")).first()[0]
+        return ranks.select("node", (F.col("rank") / total).alias("rank"))
+    finally:
+        links.unpersist()
 
 
 def paths(edges: DataFrame, starts: DataFrame, table: str, hops: Iterable[tuple[bool, str, str]], fields: tuple[str, ...] = ()) -> DataFrame:

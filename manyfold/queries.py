@@ -411,7 +411,7 @@ def connected_components_all(spark: SparkSession, d: str) -> DataFrame:
 
 @made("pagerank_all")
 def pagerank_all(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(graph.pagerank(graph.neighbors(all_edges(spark, d), "both"), iterations=10), rank=8)
+    return rounded(graph.pagerank(graph.neighbors(all_edges(spark, d), "both"), iterations=10, distinct=True), rank=8)
 
 
 @made("path", "SELECT c_custkey, CASE WHEN n IS NULL THEN NULL ELSE n END AS nation, r AS region FROM (SELECT c_custkey, CAST(n_nationkey AS VARCHAR) AS n, CAST(n_regionkey AS VARCHAR) AS r FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)")

@@ -167,6 +167,36 @@ def test_neighbors_by_tasks_of_bounded_size(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == sorted(want) and got.rdd.getNumPartitions() >= 10
 
 
+def test_bfs_takes_edges_as_they_are(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "settled", lambda df, name, f=graph.settled: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or f(df, name))
+    edges = spark.createDataFrame([*_EDGES, (41, None)], "src long, dst long")
+    got = graph.bfs(edges, spark.createDataFrame([(40,)], "node long"), 2)
+    assert sorted(map(tuple, got.collect())) == sorted([(40, 0), (1, 1)] + [(b, 2) for b in {b for a, b in _EDGES if a == 1} - {1}])
+    assert [("Aggregate" in p) for n, p in plans if n == "adjacency"] == [False]
+
+
+def test_pagerank_computes_no_step_twice(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(graph, "EDGES", 50, raising=False)
+    monkeypatch.setattr(graph, "settled", lambda df, name, f=graph.settled: names.append(name) or f(df, name))
+    edges = spark.createDataFrame(_EDGES, "src long, dst long")
+    got = {r["node"]: r["rank"] for r in graph.pagerank(edges, iterations=7).collect()}
+    assert names.count("ranks") == 7
+    out, nodes = {}, {x for e in _EDGES for x in e}
+    for a, b in set(_EDGES):
+        out.setdefault(a, []).append(b)
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(7):
+        new = dict.fromkeys(nodes, (0.15 + 0.85 * sum(rank[x] for x in nodes if x not in out)) / len(nodes))
+        for a, to in out.items():
+            for b in to:
+                new[b] += 0.85 * rank[a] / len(to)
+        rank = new
+    assert got.keys() == rank.keys() and all(got[x] == pytest.approx(rank[x]) for x in rank)
+    assert graph.pagerank(edges.limit(0)).count() == 0
+
+
 def test_graph_queries_over_whole_tables(spark):
     d, run = "/root/testdata/sf0.001", queries.queries()
     rows = {(r[0], -1 - r[1]) for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
