@@ -15,6 +15,8 @@ from ..storage import settled
 
 #: Edges that a task holds, on average, where edges are told apart or sorted.
 EDGES = 1 << 20
+#: Nodes of a frontier that every executor may hold at once; a larger one meets its edges task by task.
+NEAR = 1 << 20
 
 
 def _whole(edges: DataFrame) -> DataFrame:
@@ -31,27 +33,39 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return whole.repartition(_tasks(whole), "src", "dst").distinct()
 
 
+def ways(edges: DataFrame, direction: str) -> DataFrame:
+    """src and dst of edges as they are (out), turned round (in), or as they are and turned round (both; a loop once)."""
+    there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = F.inline(F.when(F.col("src") == F.col("dst"), F.array(there)).otherwise(F.array(there, back)))
+    return edges.select(*{"out": ["src", "dst"], "in": [F.col("dst").alias("src"), F.col("src").alias("dst")], "both": [both]}[direction])
+
+
 def neighbors(edges: DataFrame, direction: str = "out") -> DataFrame:
     """src and dst of neighbours: out, in or both (each once)."""
     if direction == "both":  # told apart once, as pairs; a loop is its own way back
         pairs = adjacency(_whole(edges).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
-        there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        return pairs.select(F.inline(F.when(F.col("src") == F.col("dst"), F.array(there)).otherwise(F.array(there, back))))
-    out = adjacency(edges)
-    return {"out": out, "in": out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))}[direction]
+        return ways(pairs, direction)
+    return ways(adjacency(edges), direction)
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int, max_nodes: int | None = None) -> DataFrame:
-    """node and depth of what is reached from the seeds (column node) along out-edges in at most depth steps; with
-    max_nodes the first by depth, then node."""
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int, max_nodes: int | None = None, direction: str = "out") -> DataFrame:
+    """node and depth of what is reached from the seeds (column node) along edges (out, in or both) in at most depth
+    steps; with max_nodes the first by depth, then node. Edges are written once; an edge moves only in the step that it
+    belongs to, or, where a frontier is large, to meet it. Tasks by the number of edges."""
     adj = settled(_whole(edges), "adjacency")  # steps tell nodes apart, so edges may be there twice
+    tasks = _tasks(adj) * (2 if direction == "both" else 1)
+    links = ways(adj, direction)
     seen = settled(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")
     frontier = seen
     for d in range(1, depth + 1):
-        step = frontier.join(adj, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = settled(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)), "frontier")
-        if frontier.isEmpty():
+        if not (n := frontier.count()):
             break
+        here, at = links, F.broadcast(frontier)
+        if n > NEAR:
+            here, at = links.repartition(tasks, "src"), frontier.repartition(tasks, "node").hint("shuffle_hash")
+        step = here.join(at, F.col("node") == F.col("src"), "left_semi").select(F.col("dst").alias("node"))
+        new = step.repartition(tasks, "node").distinct().join(seen, "node", "left_anti")
+        frontier = settled(new.withColumn("depth", F.lit(d)), "frontier")
         seen = seen.unionByName(frontier)
     return seen if max_nodes is None else seen.orderBy("depth", "node").limit(max_nodes)
 

@@ -357,7 +357,7 @@ def neighbors(spark: SparkSession, d: str) -> DataFrame:
 @made("bfs_depth", f"WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM ({_E}) UNION SELECT dst, src FROM ({_E})), r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON node = src WHERE depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node")
 def bfs_depth(spark: SparkSession, d: str) -> DataFrame:
     seeds = spark.range(1, 2).select(F.col("id").alias("node"))
-    return graph.bfs(graph.neighbors(edges(spark, d), "both"), seeds, 3)
+    return graph.bfs(edges(spark, d), seeds, 3, direction="both")
 
 
 _COMMON = "SELECT DISTINCT o_custkey AS src, -1 - (o_orderkey % 500) AS dst FROM orders WHERE o_totalprice > 300000"
@@ -400,7 +400,7 @@ def neighbors_all(spark: SparkSession, d: str) -> DataFrame:
 @made("bfs_depth_all")
 def bfs_depth_all(spark: SparkSession, d: str) -> DataFrame:
     seeds = spark.range(1, 2).select(F.col("id").alias("node"))
-    return graph.bfs(graph.neighbors(all_edges(spark, d), "both"), seeds, 3)
+    return graph.bfs(all_edges(spark, d), seeds, 3, direction="both")
 
 
 @made("connected_components_all")

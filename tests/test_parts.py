@@ -176,6 +176,34 @@ def test_bfs_takes_edges_as_they_are(spark, monkeypatch):
     assert [("Aggregate" in p) for n, p in plans if n == "adjacency"] == [False]
 
 
+@pytest.mark.parametrize("near", [0, 1 << 20])
+def test_bfs_by_tasks_of_bounded_size(spark, monkeypatch, near):
+    monkeypatch.setattr(graph, "EDGES", 50)
+    monkeypatch.setattr(graph, "NEAR", near, raising=False)
+    tasks = []
+    monkeypatch.setattr(graph, "settled", lambda df, name, f=graph.settled: tasks.append((name, df.rdd.getNumPartitions())) or f(df, name))
+    edges = spark.createDataFrame([*_EDGES, (None, 1), (41, None)], "src long, dst long")
+    turned = {(b, a) for a, b in _EDGES}
+    for way, start, want in (("out", 40, set(_EDGES)), ("in", 41, turned), ("both", 41, set(_EDGES) | turned)):
+        tasks.clear()
+        got = graph.bfs(edges, spark.createDataFrame([(start,), (start,), (99,)], "node long"), 4, **({} if way == "out" else {"direction": way})).collect()
+        depth, now = {start: 0, 99: 0}, {start}
+        for d in range(1, 5):
+            now = {b for a, b in want if a in now} - depth.keys()
+            depth |= dict.fromkeys(now, d)
+        assert sorted(map(tuple, got)) == sorted(depth.items()) and len(depth) > 5
+        steps = [n for name, n in tasks if name == "frontier" and n][1:]  # an empty step has none
+        assert steps and min(steps) >= (20 if way == "both" else 10)
+
+
+def test_bfs_queries_tell_no_edges_apart(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "settled", lambda df, name, f=graph.settled: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or f(df, name))
+    for name in ("bfs_depth", "bfs_depth_all"):
+        queries.queries()[name](spark, "/root/testdata/sf0.001")
+    assert [("Aggregate" in p) for n, p in plans if n == "adjacency"] == [False, False]
+
+
 def test_pagerank_computes_no_step_twice(spark, monkeypatch):
     names = []
     monkeypatch.setattr(graph, "EDGES", 50, raising=False)
